@@ -200,3 +200,43 @@ def object_dtype_flags(dtypes: DataFrame) -> DataFrame:
         F.lit("object_dtype_detected").alias("key"),
         F.lit("true").alias("value"),
     )
+
+
+def is_unusual_dtype(dtype: Column) -> Column:
+    return (dtype != "") & ~dtype.isin(*fixed.EXPECTED_DTYPES)
+
+
+def tensor_stats(tensors: DataFrame) -> DataFrame:
+    """Tensors and unusual dtypes per artifact."""
+    return tensors.groupBy("artifact_id").agg(
+        F.count(F.lit(1)).alias("n_tensors"),
+        F.count_if(is_unusual_dtype(F.col("dtype"))).alias("n_unusual"),
+    )
+
+
+def unusual_dtype_text(headers: DataFrame) -> DataFrame:
+    """(artifact_id, unusual): 'name: dtype' of all unusual tensors of one header, by name.
+
+    Built inside the row that holds the header, so its size is bounded by the header limit
+    and nothing is shuffled.
+    """
+    entries = F.map_entries(F.try_variant_get("json", "$", "map<string,variant>"))
+    named = F.transform(
+        F.filter(entries, lambda e: e["key"] != "__metadata__"),
+        lambda e: F.struct(
+            e["key"].alias("name"),
+            F.coalesce(F.try_variant_get(e["value"], "$.dtype", "string"), F.lit("")).alias("dtype"),
+        ),
+    )
+    unusual = F.filter(named, lambda e: is_unusual_dtype(e["dtype"]))
+    text = F.array_join(
+        F.transform(
+            F.array_sort(unusual), lambda e: F.concat(e["name"], F.lit(": "), e["dtype"])
+        ),
+        "; ",
+    )
+    return (
+        headers.filter(F.col("error").isNull())
+        .select("artifact_id", text.alias("unusual"))
+        .filter(F.col("unusual") != "")
+    )

@@ -15,6 +15,7 @@ from cargolens.functions.network import (
 )
 from cargolens.functions.text import location_offset
 from cargolens.operators.findings import emit
+from cargolens.session import computed
 
 _IPS_AFTER_URLS = 1 << 32  # addresses of a string come after its URLs
 
@@ -179,7 +180,7 @@ def network_findings(
         .otherwise(F.lit("MLS-NET-002"))
     )
     found = with_artifacts(
-        network_indicators(strings).withColumn("code", code).filter("code is not null"),
+        computed(network_indicators(strings), code=code).filter("code is not null"),
         artifacts,
     )
     c = F.col("code")

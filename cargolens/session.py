@@ -6,7 +6,8 @@ import tempfile
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -53,3 +54,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are evaluated once per row.
+
+    A filter on an ordinary derived column is pushed below the projection and evaluates the
+    expression a second time.  A generated column stays where it is.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from cargolens import fixed
 from cargolens.functions.binary import bytes_at, le_uint
-
-_ENTRY = "struct<dtype string, shape array<bigint>, data_offsets array<bigint>>"
+from cargolens.session import computed
 
 
 @dataclass(frozen=True)
@@ -22,31 +21,31 @@ class TensorHeaders:
 
 
 def read_headers(contents: DataFrame) -> DataFrame:
-    """(artifact_id, header_size, header, error): a length field, then JSON text."""
+    """(artifact_id, header_size, json, error): a length field, then JSON text."""
     content = F.col("content")
-    size = le_uint(bytes_at(content, 0, 8), 8)
-    in_range = size <= fixed.TENSOR_HEADER_MAX
-    n = F.when(in_range, size.cast("int")).otherwise(F.lit(0))
-    raw = F.substring(content, F.lit(9), n)
-    parsed = contents.select(
-        "artifact_id",
-        F.octet_length(content).alias("n_bytes"),
-        size.alias("header_size"),
-        F.when(
-            in_range & (F.octet_length(raw) == n), F.decode(raw, "UTF-8")
-        ).alias("header"),
-    ).withColumn("json", F.try_parse_json("header"))
-    kind = F.schema_of_variant("json")
+    sized = computed(
+        contents,
+        n_bytes=F.octet_length(content),
+        header_size=le_uint(bytes_at(content, 0, 8), 8),
+    )
+    n = F.when(
+        F.col("header_size") <= fixed.TENSOR_HEADER_MAX, F.col("header_size").cast("int")
+    )
+    raw = F.when(
+        n <= F.col("n_bytes") - 8, F.decode(F.substring(content, F.lit(9), n), "UTF-8")
+    )
+    read = computed(sized.withColumn("header", raw).drop("content"), json=F.try_parse_json("header"))
     error = (
         F.when(F.col("n_bytes") < 8, F.lit("file shorter than its length field"))
         .when(F.col("header_size") > fixed.TENSOR_HEADER_MAX, F.lit("header too large"))
         .when(F.col("header").isNull(), F.lit("header truncated"))
         .when(F.col("json").isNull(), F.lit("header is not JSON"))
-        .when(~kind.startswith("OBJECT"), F.lit("header is not an object"))
-    )
-    return parsed.select(
-        "artifact_id", "header_size", "header", "json", error.alias("error")
+        .when(
+            ~F.schema_of_variant("json").startswith("OBJECT"),
+            F.lit("header is not an object"),
+        )
     )
+    return computed(read, error=error).select("artifact_id", "header_size", "json", "error")
 
 
 def tensor_headers(contents: DataFrame) -> TensorHeaders:
@@ -56,7 +55,7 @@ def tensor_headers(contents: DataFrame) -> TensorHeaders:
     entries = good.select(
         "artifact_id",
         "header_size",
-        F.explode(F.from_json("header", "map<string,variant>")).alias("name", "entry"),
+        F.explode(F.try_variant_get("json", "$", "map<string,variant>")).alias("name", "entry"),
     )
     is_object = F.schema_of_variant("entry").startswith("OBJECT")
     tensors = entries.filter((F.col("name") != "__metadata__") & is_object).select(
