@@ -297,14 +297,12 @@ def policy_gates(spark, sf_dir):
     f"""
     SELECT severity_level, severity, coalesce(n, 0) AS n_findings
     FROM (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(fixed.SEVERITIES))}) v(severity_level, severity)
-    LEFT JOIN (SELECT severity, count(*) AS n FROM $findings WHERE event_id % 2 = 0
-               AND severity <> 'low' GROUP BY 1) f USING (severity)
+    LEFT JOIN (SELECT severity, count(*) AS n FROM ({FOUND_SQL}) x WHERE severity_level >= 2
+               GROUP BY 1) f USING (severity)
     """,
 )
 def severity_groups(spark, sf_dir):
-    found = Tables(spark, sf_dir).event_findings()
-    kept = found.filter((F.col("ordinal.major") % 2 == 0) & (F.col("severity") != "low"))
-    return ops.by_severity(kept)
+    return ops.by_severity(ops.at_least(Tables(spark, sf_dir).event_findings(), "medium"))
 
 
 @query(
@@ -341,7 +339,7 @@ def symbol_findings(spark, sf_dir):
 # --- parse errors --------------------------------------------------------------------------------------
 
 _SIGNAL_SQL = f"""
-    SELECT artifact_id FROM $globals WHERE module <> 'os'
+    SELECT artifact_id FROM $globals WHERE module = 'evil.pkg'
     UNION SELECT artifact_id FROM $reduce_calls WHERE module = 'numpy'
     UNION SELECT artifact_id FROM $embedded WHERE at_byte < 100
     UNION SELECT artifact_id FROM $metadata WHERE key IN {in_list(fixed.HANDLED_FLAGS)} AND value <> ''
@@ -349,10 +347,10 @@ _SIGNAL_SQL = f"""
 
 
 def _thin(t):
-    """Facts thinned out so that some failed artifacts stay without any signal."""
+    """Only some kinds of facts, so that some failed artifacts stay without any signal."""
     return {
         "artifacts": t.artifacts,
-        "globals": t.globals_.filter("module <> 'os' and artifact_id like '%1'"),
+        "globals": t.globals_.filter("module = 'evil.pkg'"),
         "reduce_calls": t.reduce_calls.filter("module = 'numpy'"),
         "embedded": t.embedded.filter("offset < 100"),
         "metadata": t.metadata,
@@ -364,8 +362,7 @@ def _thin(t):
     f"""
     SELECT artifact_id, path, 'MLS-PARSE-001' AS code, 'low' AS severity, 1 AS severity_level,
            'low' AS confidence, path AS location FROM $artifacts
-    WHERE error IS NOT NULL AND NOT unsupported AND artifact_id NOT IN (
-      {_SIGNAL_SQL.replace("module <> 'os'", "module <> 'os' AND artifact_id LIKE '%1'")})
+    WHERE error IS NOT NULL AND NOT unsupported AND artifact_id NOT IN ({_SIGNAL_SQL})
     """,
 )
 def parse_error_findings(spark, sf_dir):
@@ -388,7 +385,7 @@ def parse_error_findings(spark, sf_dir):
     FROM (SELECT DISTINCT artifact_id, at_byte FROM $embedded) e
     LEFT JOIN (SELECT artifact_id, error FROM $artifacts
                WHERE error IS NOT NULL
-                 AND artifact_id IN (SELECT artifact_id FROM $globals WHERE artifact_id LIKE '%1' AND module <> 'os'
+                 AND artifact_id IN (SELECT artifact_id FROM $globals WHERE module = 'evil.pkg'
                                      UNION SELECT artifact_id FROM $reduce_calls WHERE module = 'numpy')
                  AND artifact_id NOT IN (SELECT artifact_id FROM $metadata
                                          WHERE key = 'joblib_decompression_bomb' AND value <> '')) a

@@ -18,14 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder; on a cluster a
     machine-local folder would be lost with its machine.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="cargolens-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cargolens-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
