@@ -79,15 +79,16 @@ def byte_offset(location: Column) -> Column:
     return digits.try_cast("bigint")
 
 
+_NEEDS_QUOTING = r"[^A-Za-z0-9_.~-]"
+
+
 def uri_path(path: Column) -> Column:
     """Percent-encode every path segment, keep the slashes."""
-    return F.array_join(
-        F.transform(F.split(path, "/"), _url_quote),
-        "/",
-    )
+    quoted = F.array_join(F.transform(F.split(path, "/"), _form_quote), "/")
+    return F.when(path.rlike(r"[^A-Za-z0-9_.~/-]"), quoted).otherwise(path)
 
 
-def _url_quote(text: Column) -> Column:
+def _form_quote(text: Column) -> Column:
     """RFC 3986 quoting on top of form encoding ('+' and '*' differ, '~' stays)."""
     quoted = F.url_encode(text)
     quoted = F.replace(quoted, F.lit("+"), F.lit("%20"))
@@ -95,6 +96,10 @@ def _url_quote(text: Column) -> Column:
     return F.replace(quoted, F.lit("%7E"), F.lit("~"))
 
 
+def _url_quote(text: Column) -> Column:
+    return F.when(text.rlike(_NEEDS_QUOTING), _form_quote(text)).otherwise(text)
+
+
 def reference_uri(kind: Column, ref_id: Column) -> Column:
     kind = F.lower(kind)
     number = F.regexp_replace(ref_id, "CWE-|cwe-", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ _HEADERS = {
     "BIG": rf"\xfe\xed\xfa[\xce\xcf][\x00\x01]\x00\x00[{_CPU}]{_ANY}{{8}}\x00\x00\x00[{_COMMANDS}]",
     "LITTLE": rf"[\xce\xcf]\xfa\xed\xfe[{_CPU}]\x00\x00[\x00\x01]{_ANY}{{8}}[{_COMMANDS}]\x00\x00\x00",
 }
-_ANY_HEADER = "(?s)(?=" + "|".join(_HEADERS.values()) + ")"
+# the first byte is tested on its own, which rejects most positions at once
+_ANY_HEADER = r"(?s)(?=[M\x7f\xca\xce\xcf\xfe])(?=" + "|".join(_HEADERS.values()) + ")"
+_MAGICS = ("MZ", "\x7fELF", "\xca\xfe\xba\xbe\x00", "\xfe\xed\xfa", "\xfa\xed\xfe")
 
 
 _CHUNK = 1 << 14
@@ -39,7 +43,14 @@ def _chunk_offsets(content: Column, chunk: Column) -> Column:
     offsets.
     """
     text = latin1(F.substring(content, chunk * _CHUNK + 1, F.lit(_CHUNK + _LOOKAHEAD - 1)))
-    lengths = F.transform(F.split(text, _ANY_HEADER), F.length)
+    pieces = F.transform(
+        F.array(text),
+        lambda t: F.when(
+            reduce(Column.__or__, [t.contains(m) for m in _MAGICS]),
+            F.split(t, _ANY_HEADER),
+        ).otherwise(F.array(t)),
+    )[0]
+    lengths = F.transform(pieces, F.length)
     starts = F.transform(
         F.sequence(F.lit(0), F.size(lengths) - 1),
         lambda i: F.aggregate(

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cargolens import fixed
 from cargolens.functions.text import location_call, location_symbol
 from cargolens.operators.findings import emit, union_findings
-from cargolens.session import rule_table
+from cargolens.session import computed, rule_table
 
 ANY_FRAMEWORK = "*"
 
+Indicators = Mapping[str, Sequence[str]]
+
 
 def _text(*names: str) -> pa.Schema:
     return pa.schema([(n, pa.string()) for n in names])
@@ -41,76 +44,109 @@ def is_dangerous(module: Column, name: Column) -> Column:
 # --- framework vote ---------------------------------------------------------------------
 
 
-def indicator_table(spark: SparkSession) -> DataFrame:
-    rows = [
-        {"framework": f, "priority": i, "module": m, "n_indicators": len(modules)}
-        for i, (f, modules) in enumerate(fixed.FRAMEWORK_INDICATORS.items())
-        for m in modules
-    ]
-    schema = pa.schema(
-        [
-            ("framework", pa.string()),
-            ("priority", pa.int32()),
-            ("module", pa.string()),
-            ("n_indicators", pa.int32()),
-        ]
-    )
-    return rule_table(spark, rows, schema)
+_MASK_BITS = 62
+
+
+def indicator_table(spark: SparkSession, indicators: Indicators) -> DataFrame:
+    """(framework, module) rows."""
+    rows = [{"framework": f, "module": m} for f, modules in indicators.items() for m in modules]
+    return rule_table(spark, rows, _text("framework", "module"))
 
 
-def indicator_matches(globals_: DataFrame, indicators: DataFrame | None = None) -> DataFrame:
+def indicator_matches(
+    globals_: DataFrame, indicators: Indicators = fixed.FRAMEWORK_INDICATORS
+) -> DataFrame:
     """Indicator modules of every artifact, one row per (artifact, framework, module)."""
-    if indicators is None:
-        indicators = indicator_table(globals_.sparkSession)
+    table = indicator_table(globals_.sparkSession, indicators)
     return (
         globals_.select("artifact_id", "module")
-        .join(indicators, "module")
-        .select("artifact_id", "framework", "priority", "n_indicators", "module")
+        .join(table, "module")
+        .select("artifact_id", "framework", "module")
         .distinct()
     )
 
 
-def framework_vote(globals_: DataFrame, indicators: DataFrame | None = None) -> DataFrame:
-    """The framework with the most indicator modules; ties go by priority, and one
-    scikit-learn module beats a numpy majority.  Artifacts without a match are 'unknown'.
+def framework_vote(
+    globals_: DataFrame, indicators: Indicators = fixed.FRAMEWORK_INDICATORS
+) -> DataFrame:
+    """The framework with the most indicator modules; ties go by the order of the table,
+    and one scikit-learn module beats a numpy majority.  Artifacts without a match are
+    'unknown'.
 
-    The module lists are bounded by the indicator table, not by the artifact.
+    Each indicator is one bit.  An artifact's modules collapse to a few numbers with
+    ``bit_or``, which combines before the shuffle, needs no distinct and keeps a fixed-size
+    state however many callables an artifact has.
     """
-    counts = (
-        indicator_matches(globals_, indicators)
-        .groupBy("artifact_id", "framework", "priority", "n_indicators")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array_sort(F.collect_set("module")).alias("modules"),
+    slots = [
+        (framework, part, modules[part : part + _MASK_BITS])
+        for framework, modules in indicators.items()
+        for part in range(0, len(modules), _MASK_BITS)
+    ]
+    bits: dict[str, dict[str, int]] = {}
+    for i, (_, _, modules) in enumerate(slots):
+        for bit, module in enumerate(modules):
+            bits.setdefault(module, {})[f"m{i}"] = 1 << bit
+    names = [f"m{i}" for i in range(len(slots))]
+    schema = pa.schema([("module", pa.string()), *[(n, pa.int64()) for n in names]])
+    table = rule_table(
+        globals_.sparkSession,
+        [{"module": m, **dict.fromkeys(names, 0), **masks} for m, masks in bits.items()],
+        schema,
+    )
+    masks = (
+        globals_.select("artifact_id", "module")
+        .join(table, "module", "left")
+        .groupBy("artifact_id")
+        .agg(*[F.coalesce(F.bit_or(n), F.lit(0)).alias(n) for n in names])
+    )
+
+    def votes(priority: int, framework: str) -> Column:
+        mine = [(n, ms) for n, (f, _, ms) in zip(names, slots, strict=True) if f == framework]
+        n = sum((F.bit_count(m) for m, _ in mine), F.lit(0))
+        modules = F.array_sort(
+            F.concat(
+                *[
+                    F.filter(
+                        F.array(
+                            *[
+                                F.when(F.col(m).bitwiseAND(1 << bit) != 0, F.lit(module))
+                                for bit, module in enumerate(ms)
+                            ]
+                        ),
+                        lambda x: x.isNotNull(),
+                    )
+                    for m, ms in mine
+                ]
+            )
         )
-    )
-    entry = F.struct("framework", "n", "n_indicators", "modules")
-    votes = counts.groupBy("artifact_id").agg(
-        F.min_by(entry, F.struct(-F.col("n"), F.col("priority"))).alias("best"),
-        F.min_by(
-            F.when(F.col("framework") == "sklearn", entry),
-            F.when(F.col("framework") == "sklearn", F.lit(0)),
-        ).alias("sklearn"),
-    )
-    winner = F.when(
-        (F.col("best.framework") == "numpy") & F.col("sklearn").isNotNull(), F.col("sklearn")
-    ).otherwise(F.col("best"))
-    decided = votes.select("artifact_id", winner.alias("w")).select(
-        "artifact_id",
-        F.col("w.framework").alias("framework"),
-        F.round(
-            F.least(F.col("w.n") / F.col("w.n_indicators"), F.lit(1.0)), 4
-        ).alias("confidence"),
-        F.col("w.modules").alias("detected_patterns"),
-    )
-    everyone = globals_.select("artifact_id").distinct()
-    return everyone.join(decided, "artifact_id", "left").select(
+        return F.struct(
+            n.alias("n"),
+            F.lit(-priority).alias("rank"),
+            F.lit(framework).alias("framework"),
+            (n / F.lit(float(len(indicators[framework])))).alias("share"),
+            modules.alias("modules"),
+        )
+
+    tallies = {f: votes(i, f) for i, f in enumerate(indicators)}
+    best = F.array_max(F.array(*tallies.values()))
+    decided = computed(masks, best=best)
+    winner = F.col("best")
+    if "numpy" in tallies and "sklearn" in tallies:
+        sklearn = tallies["sklearn"]
+        winner = F.when(
+            (F.col("best.framework") == "numpy") & (sklearn["n"] > 0), sklearn
+        ).otherwise(winner)
+    decided = computed(decided, w=winner)
+    known = F.col("w.n") > 0
+    return decided.select(
         "artifact_id",
-        F.coalesce("framework", F.lit("unknown")).alias("framework"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce("detected_patterns", F.array().cast("array<string>")).alias(
-            "detected_patterns"
-        ),
+        F.when(known, F.col("w.framework")).otherwise("unknown").alias("framework"),
+        F.when(known, F.round(F.least(F.col("w.share"), F.lit(1.0)), 4))
+        .otherwise(0.0)
+        .alias("confidence"),
+        F.when(known, F.col("w.modules"))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("detected_patterns"),
     )
 
 
@@ -290,104 +326,108 @@ def first_calls(reduce_calls: DataFrame) -> DataFrame:
     )
 
 
-def blocked_globals(globals_: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Blocklisted callables (raw pair kept), without harmless literal getattr."""
+_ANY_NON_ASCII = r"[^\x00-\x7F]"
+
+
+def suspicious_globals(globals_: DataFrame) -> DataFrame:
+    """(artifact_id, module, name, code): distinct callables that earn a finding.
+
+    One pass; everything harmless is dropped before the shuffle of ``distinct``.
+    """
     module, name = F.col("module"), F.col("name")
-    canonical = canonical_module(module)
-    blocked = (
-        globals_.select("artifact_id", "module", "name")
-        .filter((module != "__persid__") & is_dangerous(module, name))
+    persistent = module == "__persid__"
+    codes = F.filter(
+        F.array(
+            F.when(~persistent & is_dangerous(module, name), "MLS-PKL-001"),
+            F.when(module.rlike(_ANY_NON_ASCII) | name.rlike(_ANY_NON_ASCII), "MLS-PKL-002"),
+            F.when(persistent, "MLS-PKL-003"),
+        ),
+        lambda c: c.isNotNull(),
+    )
+    return (
+        globals_.select("artifact_id", "module", "name", F.explode_outer(codes).alias("code"))
+        .filter(F.col("code").isNotNull())
         .distinct()
-        .withColumn("canonical", canonical)
     )
-    is_getattr = (F.col("canonical") == "builtins") & (name == "getattr")
-    others = blocked.filter(~is_getattr)
-    getattrs = blocked.filter(is_getattr).join(
-        safe_getattr_artifacts(metadata), "artifact_id", "left_anti"
+
+
+def blocked_globals(globals_: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``suspicious_globals`` without getattr where only harmless literals are read."""
+    rows = suspicious_globals(globals_).withColumn(
+        "canonical", canonical_module(F.col("module"))
+    )
+    harmless = safe_getattr_artifacts(metadata).withColumn("harmless", F.lit(True))
+    is_getattr = (
+        (F.col("code") == "MLS-PKL-001")
+        & (F.col("canonical") == "builtins")
+        & (F.col("name") == "getattr")
+    )
+    return (
+        rows.join(harmless, "artifact_id", "left")
+        .filter(~(is_getattr & F.coalesce("harmless", F.lit(False))))
+        .drop("harmless")
     )
-    return others.unionByName(getattrs)
 
 
-def blocklist_findings(
+def callable_findings(
     globals_: DataFrame,
     reduce_calls: DataFrame,
     metadata: DataFrame,
     artifacts: DataFrame | None = None,
 ) -> DataFrame:
-    module, name = F.col("module"), F.col("name")
-    severity = F.when(
-        _in_pairs(F.col("canonical"), name, fixed.DANGEROUS_CALLABLE_HIGH), "high"
-    ).otherwise("critical")
+    """Blocklisted, look-alike and persistent callables."""
+    module, name, code = F.col("module"), F.col("name"), F.col("code")
+    calls = first_calls(reduce_calls.filter(is_dangerous(module, name)))
     rows = with_path(
         blocked_globals(globals_, metadata).join(
-            first_calls(reduce_calls.filter(is_dangerous(module, name))),
-            ["artifact_id", "module", "name"],
-            "left",
+            calls, ["artifact_id", "module", "name"], "left"
         ),
         artifacts,
     )
+    blocked = code == "MLS-PKL-001"
+    mild = _in_pairs(F.col("canonical"), name, fixed.DANGEROUS_CALLABLE_HIGH)
     alias = F.when(
-        F.col("canonical") != module,
+        blocked & (F.col("canonical") != module),
         F.concat(F.lit(" (old name of "), "canonical", F.lit("."), name, F.lit(")")),
     ).otherwise("")
-    found = emit(
+    kind = (
+        F.when(blocked, "Forbidden callable ")
+        .when(code == "MLS-PKL-002", "Look-alike callable ")
+        .otherwise("Persistent reference ")
+    )
+    return emit(
         rows,
         detector="blocklist",
-        code="MLS-PKL-001",
-        severity=severity,
-        confidence="certain",
-        message=F.concat(F.lit("Forbidden callable "), module, F.lit("."), name, alias),
+        code=code,
+        codes=("MLS-PKL-001", "MLS-PKL-002", "MLS-PKL-003"),
+        severity=F.when(blocked & ~mild, "critical").otherwise("high"),
+        confidence=F.when(blocked, "certain").otherwise("high"),
+        message=F.concat(kind, module, F.lit("."), name, alias),
         location=F.when(
-            F.col("position").isNotNull(), location_call(F.col("path"), F.col("position"))
+            blocked & F.col("position").isNotNull(),
+            location_call(F.col("path"), F.col("position")),
         ).otherwise(F.col("path")),
-        major=F.lit(1),
-        label=F.concat(module, F.lit("\x01"), name),
-        details={"module": module, "name": name, "opcode": F.lit("REDUCE/GLOBAL")},
-    )
-    return union_findings(
-        found,
-        homoglyph_findings(globals_, artifacts),
-        persistent_id_findings(globals_, artifacts),
-        flag_findings(metadata, artifacts),
-    )
-
-
-def homoglyph_findings(globals_: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
-    """Callable names with characters outside ASCII, one finding per callable."""
-    module, name = F.col("module"), F.col("name")
-    rows = globals_.select("artifact_id", "module", "name").filter(
-        module.rlike(r"[^\x00-\x7F]") | name.rlike(r"[^\x00-\x7F]")
-    ).distinct()
-    return emit(
-        with_path(rows, artifacts),
-        detector="blocklist",
-        code="MLS-PKL-002",
-        severity="high",
-        confidence="high",
-        message=F.concat(F.lit("Look-alike callable "), module, F.lit("."), name),
-        location=F.col("path"),
+        major=F.when(code == "MLS-PKL-002", 0).otherwise(1),
         label=F.concat(module, F.lit("\x01"), name),
-        details={"module": module, "name": name},
+        details={
+            "module": F.when(blocked, module),
+            "name": F.when(blocked, name),
+            "module_repr": F.when(code == "MLS-PKL-002", module),
+            "name_repr": F.when(code == "MLS-PKL-002", name),
+            "persid_value": F.when(code == "MLS-PKL-003", name),
+        },
     )
 
 
-def persistent_id_findings(
-    globals_: DataFrame, artifacts: DataFrame | None = None
+def blocklist_findings(
+    globals_: DataFrame,
+    reduce_calls: DataFrame,
+    metadata: DataFrame,
+    artifacts: DataFrame | None = None,
 ) -> DataFrame:
-    rows = globals_.filter(F.col("module") == "__persid__").select(
-        "artifact_id", "name"
-    ).distinct()
-    return emit(
-        with_path(rows, artifacts),
-        detector="blocklist",
-        code="MLS-PKL-003",
-        severity="high",
-        confidence="high",
-        message=F.concat(F.lit("Persistent reference "), "name"),
-        location=F.col("path"),
-        major=F.lit(1),
-        label=F.concat(F.lit("__persid__\x01"), "name"),
-        details={"persistent_id": F.col("name")},
+    return union_findings(
+        callable_findings(globals_, reduce_calls, metadata, artifacts),
+        flag_findings(metadata, artifacts),
     )
 
 

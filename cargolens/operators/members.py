@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from cargolens import fixed
 from cargolens.functions.text import (
@@ -160,31 +161,46 @@ def scanned_members(members: DataFrame) -> DataFrame:
     return members.filter(~is_tensor_member(F.col("name")))
 
 
-def running_size(members: DataFrame) -> DataFrame:
-    """Running total of member sizes in archive order, as ``running``.
+def _bucketed(members: DataFrame) -> DataFrame:
+    return members.withColumn("bucket", F.floor(F.col("member_idx") / _BUCKET))
 
-    Sums are taken per bucket of member positions first.  A window then runs inside one
-    bucket at a time (never more rows than a bucket has positions) and a second, much
-    smaller one over the bucket sums, so an archive of any size spreads over many tasks.
-    """
-    bucketed = members.withColumn("bucket", F.floor(F.col("member_idx") / _BUCKET))
-    sums = bucketed.groupBy("artifact_id", "bucket").agg(F.sum("file_size").alias("bucket_size"))
-    before = Window.partitionBy("artifact_id").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+
+def _bucket_sums(bucketed: DataFrame) -> DataFrame:
+    """(artifact_id, bucket, largest, offset, total): sizes per bucket, with the total
+    before the bucket and up to its end."""
+    sums = bucketed.groupBy("artifact_id", "bucket").agg(
+        F.sum("file_size").alias("bucket_size"), F.max("file_size").alias("largest")
     )
-    offsets = sums.select(
-        "artifact_id",
-        "bucket",
-        F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"),
+    upto = Window.partitionBy("artifact_id").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return sums.withColumn("total", F.sum("bucket_size").over(upto)).withColumn(
+        "offset", F.col("total") - F.col("bucket_size")
     )
-    inside = Window.partitionBy("artifact_id", "bucket").orderBy("member_idx").rowsBetween(
+
+
+def _inside() -> WindowSpec:
+    """Archive order inside one bucket, which never has more rows than positions."""
+    return Window.partitionBy("artifact_id", "bucket").orderBy("member_idx").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+
+
+def running_size(members: DataFrame) -> DataFrame:
+    """Running total of member sizes in archive order, as ``running``.
+
+    Sums are taken per bucket of member positions first.  A window then runs inside one
+    bucket at a time and a second, much smaller one over the bucket sums, so an archive of
+    any size spreads over many tasks.  Join and window use the same keys: the rows are
+    shuffled once.
+    """
+    bucketed = _bucketed(members)
+    offsets = _bucket_sums(bucketed).select("artifact_id", "bucket", "offset")
+    running = F.col("offset") + F.sum("file_size").over(_inside())
     return (
-        bucketed.withColumn("inside", F.sum("file_size").over(inside))
-        .join(offsets, ["artifact_id", "bucket"])
-        .withColumn("running", (F.col("offset") + F.col("inside")).cast("bigint"))
-        .drop("bucket", "inside", "offset")
+        bucketed.join(offsets, ["artifact_id", "bucket"])
+        .withColumn("running", running.cast("bigint"))
+        .drop("bucket", "offset")
     )
 
 
@@ -193,23 +209,42 @@ def extraction_budget(members: DataFrame) -> DataFrame:
 
     A member over the member limit or the one that takes the running total over the archive
     limit stops the archive; members after the stop are ignored.  Unsafe names are skipped
-    before anything is counted.
+    before anything is counted.  The bucket sums tell in which bucket the stop lies; only
+    there the rows decide.
     """
-    rows = running_size(safe_members(members))
+    bucketed = _bucketed(safe_members(members))
+    sums = _bucket_sums(bucketed)
+    stopping = (F.col("largest") > fixed.EXTRACT_MEMBER_BYTES) | (
+        F.col("total") > fixed.EXTRACT_TOTAL_BYTES
+    )
+    order = Window.partitionBy("artifact_id").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    # the first stopping bucket so far: null before it, the same bucket from there on
+    info = sums.withColumn(
+        "stop_bucket", F.min(F.when(stopping, F.col("bucket"))).over(order)
+    ).select("artifact_id", "bucket", "offset", "stop_bucket")
+    running = F.col("offset") + F.sum("file_size").over(_inside())
     reason = F.when(
         F.col("file_size") > fixed.EXTRACT_MEMBER_BYTES, F.lit("member over the size limit")
     ).when(F.col("running") > fixed.EXTRACT_TOTAL_BYTES, F.lit("archive over the size limit"))
-    flagged = rows.withColumn("reason", reason)
-    stops = (
-        flagged.filter(F.col("reason").isNotNull())
-        .groupBy("artifact_id")
-        .agg(F.min("member_idx").alias("stop_idx"))
+    # the order runs forward, so the first stop in a bucket is known at and after it
+    stop_idx = F.min(F.when(F.col("reason").isNotNull(), F.col("member_idx"))).over(_inside())
+    before_stop = F.col("stop_bucket").isNull() | (
+        (F.col("bucket") == F.col("stop_bucket")) & F.col("stop_idx").isNull()
+    )
+    is_stop = (F.col("bucket") == F.col("stop_bucket")) & (
+        F.col("stop_idx") == F.col("member_idx")
+    )
+    return (
+        bucketed.join(info, ["artifact_id", "bucket"])
+        .withColumn("running", running.cast("bigint"))
+        .withColumn("reason", reason)
+        .withColumn("stop_idx", stop_idx)
+        .withColumn("extracted", before_stop)
+        .withColumn("reason", F.when(is_stop, F.col("reason")))
+        .drop("bucket", "offset", "stop_bucket", "stop_idx")
     )
-    placed = flagged.join(stops, "artifact_id", "left")
-    return placed.withColumn(
-        "extracted",
-        F.col("stop_idx").isNull() | (F.col("member_idx") < F.col("stop_idx")),
-    ).withColumn("reason", F.when(F.col("member_idx") == F.col("stop_idx"), F.col("reason")))
 
 
 def extraction_errors(members: DataFrame) -> DataFrame:

@@ -73,12 +73,11 @@ def network_indicators(strings: DataFrame) -> DataFrame:
     each.  The same aggregate tells whether an address was seen as a URL host in the same
     or an earlier string, in which case it is not reported again.
     """
-    texts = strings.select(
-        "artifact_id",
-        "str_idx",
-        "position",
-        url_matches(F.col("value")).alias("urls"),
-        ipv4_matches(F.col("value")).alias("ips"),
+    value = F.col("value")
+    texts = (
+        computed(strings, urls=url_matches(value), ips=ipv4_matches(value))
+        .select("artifact_id", "str_idx", "position", "urls", "ips")
+        .filter((F.size("urls") > 0) | (F.size("ips") > 0))
     )
     kind = "struct<kind:string,key:string,raw:string,minor:bigint,in_url:boolean>"
     urls = F.transform(

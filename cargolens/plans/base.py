@@ -9,6 +9,7 @@ from cargolens import fixed
 from cargolens.operators.findings import custom_findings
 from cargolens.plans.facts import fact, quoted
 from cargolens.schema import FINDINGS, ORDINAL
+from cargolens.session import spread
 from cargolens.sources.strings import strings_from
 
 
@@ -35,8 +36,8 @@ class Tables:
         )
 
     def event_findings(self) -> DataFrame:
-        """The derived findings in the findings schema."""
-        rows = self.findings
+        """The derived findings in the findings schema, spread for per-row work."""
+        rows = spread(self.findings)
         no = F.lit(0).cast("bigint")
         return custom_findings(
             rows.select(

@@ -466,13 +466,15 @@ def blocklist_findings(spark, sf_dir):
 @query("homoglyph_findings", _HOMOGLYPH_SQL)
 def homoglyph_findings(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return flat(ops.homoglyph_findings(t.globals_, t.artifacts))
+    found = ops.callable_findings(t.globals_, t.reduce_calls, t.metadata, t.artifacts)
+    return flat(found.filter("code = 'MLS-PKL-002'"))
 
 
 @query("persistent_id_findings", _PERSID_SQL)
 def persistent_id_findings(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return flat(ops.persistent_id_findings(t.globals_, t.artifacts))
+    found = ops.callable_findings(t.globals_, t.reduce_calls, t.metadata, t.artifacts)
+    return flat(found.filter("code = 'MLS-PKL-003'"))
 
 
 @query("flag_findings", _FLAGS_SQL)
@@ -563,9 +565,6 @@ _SYMBOL_FINDINGS_SQL = f"""
             AND NOT ({CANONICAL_SQL} = 'builtins' AND name = 'getattr'
                      AND g.artifact_id IN ({HARMLESS_SQL}))) b
     UNION ALL
-    SELECT artifact_id, module, name, 'MLS-PKL-002', 3, 1, 0, concat(module, chr(1), name)
-    FROM $globals WHERE regexp_matches(module, '[^\\x00-\\x7F]')
-    UNION ALL
     SELECT m.artifact_id, a.module, a.name, concat('MLS-', m.id),
            {LEVEL_SQL.replace('severity', 'm.severity', 1)}, 4, 0, m.id
     FROM ({_PATTERN_SQL}) m JOIN ({_AFFECTED_SQL}) a ON a.id = m.id

@@ -14,7 +14,7 @@ from cargolens.operators import binaries, formats as ops
 from cargolens.plans.base import LEVEL_SQL, Tables, detail, flat, in_list
 from cargolens.plans.facts import quoted
 from cargolens.plans.registry import query
-from cargolens.session import computed
+from cargolens.session import computed, spread
 from cargolens.sources.artifacts import hash_content, list_artifacts
 from cargolens.sources.tensors import read_headers, tensor_headers
 
@@ -266,9 +266,9 @@ _FOUND_SQL = f"""
 def _documents_with_headers(t):
     body = F.encode("text", "UTF-8")
     header = choose(F.col("doc_id"), [raw(b) for b, _ in _EXE])
-    return t.documents.select(
-        F.concat(F.lit("documents/"), "doc_id").alias("artifact_id"),
-        F.concat(body, header, body, header).alias("content"),
+    content = F.concat(body, header, body, header)
+    return computed(spread(t.documents), content=content).select(
+        F.concat(F.lit("documents/"), "doc_id").alias("artifact_id"), "content"
     )
 
 
