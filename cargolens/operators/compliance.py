@@ -101,6 +101,20 @@ def compliance_report(findings: DataFrame, standards: Sequence[str]) -> DataFram
     return parts
 
 
+def report_of_codes(codes: Column, standards: Sequence[str]) -> Column:
+    """The compliance report of an array of codes, as a map by standard."""
+
+    def ids(standard: str) -> Column:
+        mapping = fixed.COMPLIANCE[standard]
+        found = F.transform(codes, lambda code: requirement_ids(code, mapping))
+        return F.array_sort(F.array_distinct(F.flatten(found)))
+
+    enabled = [s for s in fixed.STANDARDS if s in standards]
+    if not enabled:
+        return F.lit(None).cast("map<string,array<string>>")
+    return F.create_map(*[x for s in enabled for x in (F.lit(s), ids(s))])
+
+
 def with_compliance_tags(findings: DataFrame, standard: str) -> DataFrame:
     """Add the tags of a standard to the tags a finding already has."""
     ids = requirement_ids(F.col("code"), fixed.COMPLIANCE[standard])

@@ -107,8 +107,7 @@ def kv_findings(metadata: DataFrame, artifacts: DataFrame) -> DataFrame:
         message=F.concat(F.lit("Metadata key "), key, F.lit(": "), F.substring("what", 1, 200)),
         location=path,
         major=F.when(F.col("step") < 2, F.col("step")).otherwise(2),
-        minor=F.col("step").cast("bigint") * (1 << 32) + F.col("i"),
-        label=key,
+        label=F.concat_ws("\x01", key, F.col("step"), F.lpad(F.col("i").cast("string"), 10, "0")),
         details={
             "key": F.when(~code.isin("MLS-GGUF-005", "MLS-GGUF-006"), key),
             "value_preview": F.when(code == "MLS-GGUF-001", F.substring("value", 1, 200)),

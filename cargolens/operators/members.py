@@ -16,7 +16,7 @@ from cargolens.operators.findings import emit, union_findings
 from cargolens.session import checkpoint
 
 _BUCKET = 1 << 16  # member_idx values per bucket of a running total
-_LEVELS_PER_CHECKPOINT = 8
+_LEVELS_PER_CHECKPOINT = 3
 
 
 # --- totals over the member tree -----------------------------------------------------------
@@ -27,6 +27,8 @@ def visible_members(members: DataFrame) -> DataFrame:
 
     Walks the tree one level at a time from the top.  A level joins only the hiding
     members of the level above, so archives without explicit totals add next to nothing.
+    Every few levels the hiding members are checkpointed, so the plan of a deep tree does
+    not grow with the square of its depth.
     """
     deepest = members.agg(F.max("depth")).first()[0] or 0
     cols = ["artifact_id", "member_id", "parent_id", "file_size",

@@ -123,59 +123,76 @@ def joblib_findings(metadata: DataFrame, artifacts: DataFrame) -> DataFrame:
     return union_findings(missing, bombs)
 
 
+def _object_arrays(metadata: DataFrame) -> DataFrame:
+    """(owner, has_stream, dtype) of artifacts and members that hold an array of objects."""
+    key, value = F.col("key"), F.col("value")
+    return (
+        metadata.filter(
+            key.isin("object_dtype_detected", "pickle_payload_detected", "dtype")
+        )
+        .groupBy(F.col("artifact_id").alias("owner"))
+        .agg(
+            F.bool_or((key == "object_dtype_detected") & (value == "true")).alias("is_object"),
+            F.bool_or((key == "pickle_payload_detected") & (value == "true")).alias(
+                "has_stream"
+            ),
+            F.max(F.when(key == "dtype", value)).alias("dtype"),
+        )
+        .filter("is_object")
+        .drop("is_object")
+    )
+
+
+def _numpy_all_the_way(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Keep members whose ancestors were all read by numpy.
+
+    Climbs from the few members that were found, one level per join, instead of walking
+    the whole tree from the top.
+    """
+    deepest = members.agg(F.max("depth")).first()[0] or 1
+    parents = members.filter(F.col("scanner") == "numpy").select(
+        "artifact_id", F.col("member_id").alias("cursor"), F.col("parent_id").alias("above")
+    )
+    climbing = found.withColumn("cursor", F.col("parent_id"))
+    for _ in range(min(deepest, fixed.MAX_NESTED_DEPTH) - 1):
+        climbing = (
+            climbing.join(
+                parents.withColumn("known", F.lit(True)), ["artifact_id", "cursor"], "left"
+            )
+            .filter(F.col("cursor").isNull() | F.col("known"))
+            .withColumn("cursor", F.col("above"))
+            .drop("above", "known")
+        )
+    return climbing.filter(F.col("cursor").isNull()).drop("cursor")
+
+
 def numpy_findings(
     artifacts: DataFrame, metadata: DataFrame, members: DataFrame | None = None
 ) -> DataFrame:
     """Object arrays of an artifact and of its members up to the nesting limit.
 
-    Members carry their metadata under their ``member_id``; a member counts when every
-    reader above it is numpy as well, which its own scanner and its parent's tell level
-    by level.
+    Members carry their metadata under their ``member_id``; a member counts when numpy read
+    it and everything above it.
     """
-    own = artifacts.filter(F.col("scanner") == "numpy").select(
-        "artifact_id", "path", F.col("artifact_id").alias("owner"), F.lit(0).alias("depth")
+    own = artifacts.filter(F.col("scanner") == "numpy").select("artifact_id", "path")
+    objects = _object_arrays(metadata)
+    columns = ("artifact_id", "path", "depth", "has_stream", "dtype")
+    found = (
+        own.join(objects, F.col("artifact_id") == F.col("owner"))
+        .withColumn("depth", F.lit(0))
+        .select(*columns)
     )
-    entries = own
     if members is not None:
-        above = own.select(F.col("artifact_id"), "path")
-        parents = None
-        for level in range(1, fixed.MAX_NESTED_DEPTH + 1):
-            rows = members.filter(
-                (F.col("depth") == level) & (F.col("scanner") == "numpy")
-            ).select("artifact_id", "member_id", "parent_id", "name")
-            rows = (
-                rows.join(above, "artifact_id")
-                if parents is None
-                else rows.join(parents, ["artifact_id", "parent_id"])
-            )
-            parents = rows.select(
-                "artifact_id", F.col("member_id").alias("parent_id"), "path"
-            )
-            entries = entries.unionByName(
-                rows.select(
-                    "artifact_id",
-                    F.concat("path", F.lit("/"), "name").alias("path"),
-                    F.col("member_id").alias("owner"),
-                    F.lit(level).alias("depth"),
-                )
+        inner = (
+            members.filter(
+                (F.col("scanner") == "numpy") & (F.col("depth") <= fixed.MAX_NESTED_DEPTH)
             )
-    facts = (
-        metadata.filter(
-            F.col("key").isin("object_dtype_detected", "pickle_payload_detected", "dtype")
-        )
-        .groupBy(F.col("artifact_id").alias("owner"))
-        .agg(
-            F.bool_or(
-                (F.col("key") == "object_dtype_detected") & (F.col("value") == "true")
-            ).alias("is_object"),
-            F.bool_or(
-                (F.col("key") == "pickle_payload_detected") & (F.col("value") == "true")
-            ).alias("has_stream"),
-            F.max(F.when(F.col("key") == "dtype", F.col("value"))).alias("dtype"),
+            .select("artifact_id", "member_id", "parent_id", "name", "depth")
+            .join(objects, F.col("member_id") == F.col("owner"))
+            .join(own, "artifact_id")
+            .withColumn("path", F.concat("path", F.lit("/"), "name"))
         )
-        .filter("is_object")
-    )
-    found = entries.join(facts, "owner")
+        found = found.unionByName(_numpy_all_the_way(inner, members).select(*columns))
     return emit(
         found,
         detector="numpy_metadata",

@@ -23,7 +23,7 @@ _KEY_SQL = f"""
     JOIN (SELECT DISTINCT standard, key FROM ({_MAPPING_SQL}) m) k ON starts_with(code, key)
     GROUP BY 1, 2
 """
-_CODE_MAP_SQL = f"""
+CODE_MAP_SQL = f"""
     SELECT c.code, s.standard, m.requirement
     FROM (SELECT DISTINCT code FROM $findings) c
     CROSS JOIN (SELECT unnest({list(fixed.STANDARDS)}) AS standard) s
@@ -43,7 +43,7 @@ def _all_standards(df, function):
 @query(
     "requirement_map",
     f"""SELECT event_id, code, standard, requirement FROM $findings
-        JOIN ({_CODE_MAP_SQL}) m USING (code)""",
+        JOIN ({CODE_MAP_SQL}) m USING (code)""",
 )
 def requirement_map(spark, sf_dir):
     found = Tables(spark, sf_dir).event_findings().select(
@@ -59,7 +59,7 @@ def requirement_map(spark, sf_dir):
     FROM (SELECT category, count(code) AS n
           FROM (SELECT unnest({list(fixed.OWASP_CATEGORIES)}) AS category) c
           LEFT JOIN (SELECT f.code, m.requirement FROM $findings f
-                     JOIN ({_CODE_MAP_SQL}) m ON m.code = f.code AND m.standard = 'owasp_ml') x
+                     JOIN ({CODE_MAP_SQL}) m ON m.code = f.code AND m.standard = 'owasp_ml') x
             ON x.requirement = category
           GROUP BY 1) g
     """,
@@ -72,7 +72,7 @@ def category_report(spark, sf_dir):
     "findings_by_requirement",
     f"""
     SELECT standard, coalesce(requirement, '_unmapped') AS requirement, count(*) AS n_findings
-    FROM $findings JOIN ({_CODE_MAP_SQL}) m USING (code) GROUP BY 1, 2
+    FROM $findings JOIN ({CODE_MAP_SQL}) m USING (code) GROUP BY 1, 2
     """,
 )
 def findings_by_requirement(spark, sf_dir):
@@ -89,7 +89,7 @@ def findings_by_requirement(spark, sf_dir):
     "compliance_report",
     f"""
     SELECT standard, string_agg(DISTINCT requirement, ',' ORDER BY requirement) AS requirements
-    FROM ({_CODE_MAP_SQL}) m WHERE standard IN ('owasp_ml', 'fstec') GROUP BY 1
+    FROM ({CODE_MAP_SQL}) m WHERE standard IN ('owasp_ml', 'fstec') GROUP BY 1
     """,
 )
 def compliance_report(spark, sf_dir):
@@ -106,7 +106,7 @@ def compliance_report(spark, sf_dir):
            CASE standard WHEN 'owasp_ml' THEN concat('owasp-ml:', lower(requirement))
                 WHEN 'fstec' THEN concat('fstec:', replace(lower(requirement), 'уби.', 'ubi-'))
                 ELSE concat('gost:56939-2024:', requirement) END AS tag
-    FROM ({_CODE_MAP_SQL}) m WHERE requirement IS NOT NULL
+    FROM ({CODE_MAP_SQL}) m WHERE requirement IS NOT NULL
     """,
 )
 def compliance_tags(spark, sf_dir):
@@ -142,7 +142,7 @@ def tags_by_family(spark, sf_dir):
     f"""
     SELECT r.requirement, coalesce(t.description, concat('No description of ', r.requirement,
            '; see its catalogue.')) AS description
-    FROM (SELECT DISTINCT requirement FROM ({_CODE_MAP_SQL}) m WHERE requirement IS NOT NULL) r
+    FROM (SELECT DISTINCT requirement FROM ({CODE_MAP_SQL}) m WHERE requirement IS NOT NULL) r
     LEFT JOIN (SELECT concat('ML', lpad(CAST(n_nationkey AS VARCHAR), 2, '0')) AS requirement,
                       n_name AS description FROM $nation
                WHERE n_regionkey IN {in_list([0, 1, 2]).replace("'", "")}) t USING (requirement)

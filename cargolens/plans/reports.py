@@ -9,6 +9,7 @@ from cargolens.operators.callables import framework_vote
 from cargolens.operators.findings import dedupe
 from cargolens.plans import callables
 from cargolens.plans.base import Tables
+from cargolens.plans.compliance import CODE_MAP_SQL
 from cargolens.plans.findings import DEDUPED_SQL, FOUND_SQL, below_sql
 from cargolens.plans.registry import query
 from cargolens.sinks import sarif, sbom
@@ -68,7 +69,8 @@ def json_artifacts(spark, sf_dir):
            (SELECT count(*)::VARCHAR FROM $artifacts) AS files,
            (SELECT sum(length)::VARCHAR FROM $artifacts) AS bytes,
            count_if(severity = 'critical')::VARCHAR AS critical, count(*)::VARCHAR AS total,
-           count_if({below_sql('low')})::VARCHAR AS below
+           count_if({below_sql('low')})::VARCHAR AS below,
+           (SELECT min(requirement) FROM ({CODE_MAP_SQL}) m WHERE standard = 'fstec') AS first_threat
     FROM ({FOUND_SQL}) f
     """,
 )
@@ -80,6 +82,7 @@ def json_run(spark, sf_dir):
         threshold="$.tool.thresholds.severity_threshold", files="$.scan_info.files_scanned",
         bytes="$.scan_info.total_bytes", critical="$.summary.critical",
         total="$.summary.total", below="$.below_threshold",
+        first_threat="$.compliance_report.fstec[0]",
     )
 
 
@@ -272,6 +275,7 @@ def findings_union(spark, sf_dir):
     t = Tables(spark, sf_dir)
     found = t.event_findings()
     doubled = registry.algebra.union_findings(found, found)
-    n = found.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("one"))
-    merged = dedupe(doubled).agg(F.count(F.lit(1)).alias("merged"), F.lit(1).alias("one"))
-    return n.join(merged, "one").select("n", "merged")
+    rows = found.select(F.lit(1).alias("n"), F.lit(0).alias("merged")).unionByName(
+        dedupe(doubled).select(F.lit(0).alias("n"), F.lit(1).alias("merged"))
+    )
+    return rows.agg(F.sum("n").alias("n"), F.sum("merged").alias("merged"))

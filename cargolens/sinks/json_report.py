@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens import __version__
-from cargolens.operators.compliance import compliance_report
-from cargolens.operators.findings import artifact_catalogue, below_threshold, summary
+from cargolens import __version__, fixed
+from cargolens.functions.levels import severity_label
+from cargolens.operators.compliance import report_of_codes
+from cargolens.operators.findings import artifact_catalogue, below_threshold
 from cargolens.sources.policy import Policy
 
 SCHEMA_VERSION = "1.0"
@@ -39,24 +40,34 @@ def artifact_lines(
 def run_line(
     artifacts: DataFrame, findings: DataFrame, policy: Policy, duration_ms: float | None = None
 ) -> DataFrame:
-    """One record: tool, thresholds, counts and compliance ids of the whole run."""
-    counts = summary(findings).select(F.struct("*").alias("summary"))
-    below = findings.agg(
-        F.count_if(below_threshold(policy.severity_threshold)).alias("below_threshold")
-    )
-    scanned = artifacts.agg(
-        F.count(F.lit(1)).alias("files_scanned"), F.sum("length").alias("total_bytes")
-    )
-    report = compliance_report(findings, policy.compliance).agg(
-        F.map_from_entries(F.collect_list(F.struct("standard", "requirements"))).alias(
-            "compliance_report"
+    """One record: tool, thresholds, counts and compliance ids of the whole run.
+
+    Findings and artifacts go through one aggregate; the set of codes is bounded by the
+    rules, not by the corpus.
+    """
+    below = below_threshold(policy.severity_threshold)
+    rows = findings.select(
+        "severity", "severity_level", "code", below.alias("below"),
+        F.lit(None).cast("bigint").alias("length"), F.lit(False).alias("is_file"),
+    ).unionByName(
+        artifacts.select(
+            F.lit(None).cast("string").alias("severity"),
+            F.lit(None).cast("int").alias("severity_level"),
+            F.lit(None).cast("string").alias("code"),
+            F.lit(False).alias("below"),
+            "length",
+            F.lit(True).alias("is_file"),
         )
     )
-    # four tables of exactly one row each
-    one = F.lit(1).alias("_one")
-    joined = counts.select("*", one)
-    for part in (below, scanned, report):
-        joined = joined.join(part.select("*", one), "_one")
+    totals = rows.agg(
+        *[F.count_if(F.col("severity") == s).alias(s) for s in reversed(fixed.SEVERITIES)],
+        F.count("code").alias("total"),
+        severity_label(F.max("severity_level")).alias("worst"),
+        F.count_if("below").alias("below_threshold"),
+        F.count_if("is_file").alias("files_scanned"),
+        F.sum("length").alias("total_bytes"),
+        F.collect_set("code").alias("codes"),
+    )
     body = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.struct(
@@ -74,11 +85,11 @@ def run_line(
             "files_scanned",
             "total_bytes",
         ).alias("scan_info"),
-        "summary",
+        F.struct(*reversed(fixed.SEVERITIES), "total", "worst").alias("summary"),
         "below_threshold",
-        "compliance_report",
+        report_of_codes(F.col("codes"), policy.compliance).alias("compliance_report"),
     )
-    return joined.select(F.to_json(body, _KEEP_NULLS).alias("value"))
+    return totals.select(F.to_json(body, _KEEP_NULLS).alias("value"))
 
 
 def json_report(

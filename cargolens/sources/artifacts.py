@@ -27,7 +27,8 @@ def list_artifacts(
 ) -> DataFrame:
     """Regular files of a folder as an artifacts table, without reading their bytes.
 
-    ``recursive`` walks sub-folders and then drops every path with a hidden component.
+    Without ``recursive`` only the files directly in the folder; with it the scan walks
+    sub-folders and then drops every path with a hidden component.
     Files beyond the size cap stay as rows that carry an error.
     """
     reader = spark.read.format("binaryFile").option(
@@ -35,7 +36,7 @@ def list_artifacts(
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path if recursive else f"{path.rstrip('/')}/*").select(
+    files = reader.load(path).select(
         _plain_path(F.col("path")).alias("path"),
         F.col("length"),
         F.col("modificationTime").alias("modification_time"),
