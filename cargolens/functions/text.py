@@ -136,7 +136,7 @@ def compliance_tag(standard: str, requirement: Column) -> Column:
 
 def human_size(size: Column) -> Column:
     def scaled(unit: int, label: str) -> Column:
-        return F.concat(F.format_string("%.1f", size / F.lit(unit)), F.lit(f" {label}"))
+        return F.concat(F.format_string("%.1f", F.bround(size / F.lit(unit), 1)), F.lit(f" {label}"))
 
     return (
         F.when(size >= fixed.GIB, scaled(fixed.GIB, "GiB"))

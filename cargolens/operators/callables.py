@@ -141,7 +141,7 @@ def framework_vote(
     return decided.select(
         "artifact_id",
         F.when(known, F.col("w.framework")).otherwise("unknown").alias("framework"),
-        F.when(known, F.round(F.least(F.col("w.share"), F.lit(1.0)), 4))
+        F.when(known, F.bround(F.least(F.col("w.share"), F.lit(1.0)), 4))
         .otherwise(0.0)
         .alias("confidence"),
         F.when(known, F.col("w.modules"))

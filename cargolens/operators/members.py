@@ -125,7 +125,7 @@ def compression_findings(
         confidence=F.when(extreme, "high").otherwise("medium"),
         message=F.concat(
             human_size(size), F.lit(" unpack to "), human_size(unpacked),
-            F.lit(" ("), F.round(ratio).cast("bigint").cast("string"), F.lit("x)"),
+            F.lit(" ("), F.bround(ratio).cast("bigint").cast("string"), F.lit("x)"),
         ),
         location=F.col("path"),
         major=0,
