@@ -74,8 +74,13 @@ def parent_domains(host: Column) -> Column:
 
 
 def trusted_domain(host: Column, domains: tuple[str, ...]) -> Column:
-    """The host or one of its parents is in the list."""
+    """The host or one of its parents is in the list; trailing dots do not matter."""
     if not domains:
         return F.lit(False)
-    clean = F.regexp_replace(F.lower(host), r"\.+$", "")
-    return F.arrays_overlap(parent_domains(clean), F.array(*[F.lit(d) for d in domains]))
+    if len(domains) > 200:
+        clean = F.regexp_replace(F.lower(host), r"\.+$", "")
+        return F.arrays_overlap(
+            parent_domains(clean), F.array(*[F.lit(d) for d in domains])
+        )
+    names = "|".join(d.replace(".", r"\.") for d in domains)
+    return F.lower(host).rlike(rf"(?:^|\.)(?:{names})\.*$")

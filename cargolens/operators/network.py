@@ -19,18 +19,22 @@ from cargolens.session import computed
 
 _IPS_AFTER_URLS = 1 << 32  # addresses of a string come after its URLs
 
+# a look at the first character rejects most positions before the alternatives are tried
+_URL = "(?=[dfghjvDFGHJV])" + fixed.URL_PATTERN
+_IPV4 = "(?=[0-9])" + fixed.IPV4_PATTERN
+
 
 def url_matches(value: Column) -> Column:
     """All URLs of a text in order, without trailing punctuation."""
     return F.transform(
-        F.regexp_extract_all(value, F.lit(fixed.URL_PATTERN), F.lit(0)),
+        F.regexp_extract_all(value, F.lit(_URL), F.lit(0)),
         lambda u: F.rtrim(u, F.lit(fixed.URL_TRAILING)),
     )
 
 
 def ipv4_matches(value: Column) -> Column:
     """All dotted quads of a text in order, with their port if any."""
-    return F.regexp_extract_all(value, F.lit(fixed.IPV4_PATTERN), F.lit(0))
+    return F.regexp_extract_all(value, F.lit(_IPV4), F.lit(0))
 
 
 def extract_urls(strings: DataFrame) -> DataFrame:
@@ -159,9 +163,7 @@ def network_findings(
 
     ``escalate`` raises unknown domains from medium to high.
     """
-    key = F.col("key")
-    host = url_host(key)
-    scheme = scheme_class(key)
+    key, host, scheme = F.col("key"), F.col("host"), F.col("scheme")
     trusted = trusted_domain(host, trusted_domains)
     code = (
         F.when(
@@ -178,9 +180,11 @@ def network_findings(
         .when(trusted, F.lit("MLS-NET-001"))
         .otherwise(F.lit("MLS-NET-002"))
     )
+    indicators = computed(
+        network_indicators(strings), host=url_host(key), scheme=scheme_class(key)
+    )
     found = with_artifacts(
-        computed(network_indicators(strings), code=code).filter("code is not null"),
-        artifacts,
+        computed(indicators, code=code).filter("code is not null"), artifacts
     )
     c = F.col("code")
     severity = (

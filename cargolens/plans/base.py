@@ -28,11 +28,13 @@ class Tables:
         return df
 
     def corpus(self) -> DataFrame:
-        """Documents, page bodies and page addresses as one strings table."""
+        """Documents, page bodies and page addresses as one strings table, each file spread
+        over the cores: it holds one row group."""
+        documents, pages = spread(self.documents), spread(self.pages)
         return (
-            strings_from(self.documents, "documents", "doc_id", "text")
-            .unionByName(strings_from(self.pages, "pages", "page_id", "html"))
-            .unionByName(strings_from(self.pages, "urls", "page_id", "url"))
+            strings_from(documents, "documents", "doc_id", "text")
+            .unionByName(strings_from(pages, "pages", "page_id", "html"))
+            .unionByName(strings_from(pages, "urls", "page_id", "url"))
         )
 
     def event_findings(self) -> DataFrame:

@@ -15,7 +15,6 @@ from cargolens.operators.secrets import SECRET_RULES, SecretRule
 from cargolens.plans.base import CORPUS_SQL, LEVEL_SQL, Tables, detail, flat, in_list, label_sql
 from cargolens.plans.facts import quoted
 from cargolens.plans.registry import query
-from cargolens.session import spread
 from cargolens.sources.strings import min_length, strings_from
 
 URL, IP = quoted(fixed.URL_PATTERN), quoted(fixed.IPV4_PATTERN)
@@ -32,7 +31,7 @@ ALL_STRINGS_SQL = (
 
 
 def all_strings(t: Tables):
-    return t.strings.unionByName(spread(t.corpus()))
+    return t.strings.unionByName(t.corpus())
 
 
 def urls_sql(source: str) -> str:
@@ -294,7 +293,7 @@ def network_findings(spark, sf_dir):
 )
 def network_findings_escalated(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return flat(network.network_findings(spread(t.corpus()), None, TRUSTED, escalate=True))
+    return flat(network.network_findings(t.corpus(), None, TRUSTED, escalate=True))
 
 
 _CORPUS_DEDUPED_SQL = f"""
@@ -316,7 +315,7 @@ _CORPUS_DEDUPED_SQL = f"""
 def corpus_leak_report(spark, sf_dir):
     """The hundred text rows with the worst network indicators."""
     t = Tables(spark, sf_dir)
-    found = dedupe(network.network_findings(spread(t.corpus()), None, TRUSTED))
+    found = dedupe(network.network_findings(t.corpus(), None, TRUSTED))
     return top_artifacts(found, 100).select(
         "artifact_id", "total", F.col("worst_level").cast("int").alias("worst_level"), "worst"
     )
@@ -331,7 +330,7 @@ def corpus_leak_report(spark, sf_dir):
 )
 def corpus_leak_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    found = dedupe(network.network_findings(spread(t.corpus()), None, TRUSTED))
+    found = dedupe(network.network_findings(t.corpus(), None, TRUSTED))
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -419,7 +418,7 @@ def secret_findings(spark, sf_dir):
 ))
 def corpus_secret_findings(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    found = secrets.secret_findings(spread(t.corpus()), None, None, CORPUS_RULES)
+    found = secrets.secret_findings(t.corpus(), None, None, CORPUS_RULES)
     return detail(found, "rule", "sha256", "match")
 
 
