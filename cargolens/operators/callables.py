@@ -100,36 +100,28 @@ def framework_vote(
         .agg(*[F.coalesce(F.bit_or(n), F.lit(0)).alias(n) for n in names])
     )
 
-    def votes(priority: int, framework: str) -> Column:
-        mine = [(n, ms) for n, (f, _, ms) in zip(names, slots, strict=True) if f == framework]
-        n = sum((F.bit_count(m) for m, _ in mine), F.lit(0))
-        modules = F.array_sort(
-            F.concat(
-                *[
-                    F.filter(
-                        F.array(
-                            *[
-                                F.when(F.col(m).bitwiseAND(1 << bit) != 0, F.lit(module))
-                                for bit, module in enumerate(ms)
-                            ]
-                        ),
-                        lambda x: x.isNotNull(),
-                    )
-                    for m, ms in mine
-                ]
-            )
-        )
+    def mine(framework: str) -> list[tuple[str, Sequence[str]]]:
+        return [(n, ms) for n, (f, _, ms) in zip(names, slots, strict=True) if f == framework]
+
+    def tally(priority: int, framework: str) -> Column:
+        n = sum((F.bit_count(m) for m, _ in mine(framework)), F.lit(0))
         return F.struct(
             n.alias("n"),
             F.lit(-priority).alias("rank"),
             F.lit(framework).alias("framework"),
             (n / F.lit(float(len(indicators[framework])))).alias("share"),
-            modules.alias("modules"),
         )
 
-    tallies = {f: votes(i, f) for i, f in enumerate(indicators)}
-    best = F.array_max(F.array(*tallies.values()))
-    decided = computed(masks, best=best)
+    def matched(framework: str) -> Column:
+        flags = [
+            F.when(F.col(m).bitwiseAND(1 << bit) != 0, F.lit(module))
+            for m, modules in mine(framework)
+            for bit, module in enumerate(modules)
+        ]
+        return F.array_sort(F.filter(F.array(*flags), lambda x: x.isNotNull()))
+
+    tallies = {f: tally(i, f) for i, f in enumerate(indicators)}
+    decided = computed(masks, best=F.array_max(F.array(*tallies.values())))
     winner = F.col("best")
     if "numpy" in tallies and "sklearn" in tallies:
         sklearn = tallies["sklearn"]
@@ -138,15 +130,17 @@ def framework_vote(
         ).otherwise(winner)
     decided = computed(decided, w=winner)
     known = F.col("w.n") > 0
+    # only the list of the winner is built
+    modules = F.when(~known, F.array().cast("array<string>"))
+    for framework in indicators:
+        modules = modules.when(F.col("w.framework") == framework, matched(framework))
     return decided.select(
         "artifact_id",
         F.when(known, F.col("w.framework")).otherwise("unknown").alias("framework"),
         F.when(known, F.bround(F.least(F.col("w.share"), F.lit(1.0)), 4))
         .otherwise(0.0)
         .alias("confidence"),
-        F.when(known, F.col("w.modules"))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("detected_patterns"),
+        modules.alias("detected_patterns"),
     )
 
 

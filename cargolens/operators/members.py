@@ -50,7 +50,7 @@ def visible_members(members: DataFrame) -> DataFrame:
         ).select(
             "artifact_id", F.col("member_id").alias("parent_id"), F.lit(True).alias("hidden")
         )
-        if level % _LEVELS_PER_CHECKPOINT == 0:
+        if level % _LEVELS_PER_CHECKPOINT == 0 and level < deepest:
             hiding = checkpoint(hiding)
     if out is None:
         out = members.select(*cols).withColumn("hidden", F.lit(False))
