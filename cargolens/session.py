@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
@@ -15,16 +14,15 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and written intermediate tables.
 
-    Only a local session without that setting gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine.
+    Where the setting is absent, as in a plain local session, it is a folder of the
+    warehouse, which every executor of a session can reach too.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cargolens-"))
-    return spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
