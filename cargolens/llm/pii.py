@@ -9,7 +9,7 @@ hold the value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.llm.common import ascii_lower, sized, stored
@@ -69,32 +69,33 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _holds(kind: str):
-    return lambda span: _valid(kind, span["value"])
+def _between(found: str, between: str, kind: int) -> Column:
+    """For every match what lies before it, and the words next to it up to its neighbours."""
+    item = "array<struct<kind:int,nth:int,gap:int,value:string,before:string,after:string>>"
+    return F.expr(
+        f"""if(size({found}) > 0,
+              transform(sequence(0, size({found}) - 1), i -> named_struct(
+                'kind', {kind}, 'nth', i, 'gap', length({between}[i]), 'value', {found}[i],
+                'before', right({between}[i], {NEAR_CHARS + 1}),
+                'after', left({between}[i + 1], {NEAR_CHARS + 1}))),
+              cast(array() as {item}))"""
+    )
 
 
-def _of_kind(i: int):
-    return lambda span: span["kind"] == i
+def _placed(matches: DataFrame) -> DataFrame:
+    """(doc_id, key, ..., start, end) of matches, from the lengths of all before them.
 
-
-def _located(found: str, between: str, kind: int) -> Column:
-    """Spans from the matches and the pieces of text between them."""
-    return F.expr(
-        f"""aggregate(sequence(0, size({found}) - 1),
-              named_struct('at', 0, 'out', cast(array() as {_SPANS})),
-              (a, i) -> named_struct(
-                'at', a.at + length({between}[i]) + length({found}[i]),
-                'out', concat(a.out, array(named_struct(
-                  'start', a.at + length({between}[i]),
-                  'kind', {kind},
-                  'end', a.at + length({between}[i]) + length({found}[i]),
-                  'value', {found}[i])))),
-              a -> a.out)"""
-    )
+    A running sum over a document's matches of one kind, so many matches in a long text
+    cost no more than few in each of many.
+    """
+    one = matches.dropDuplicates(["doc_id", "key", "kind", "nth"])
+    order = Window.partitionBy("doc_id", "key", "kind").orderBy("nth")
+    end = F.sum(F.col("gap") + F.length("value")).over(order).cast("int")
+    return one.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Adds ``base``, the valid spans of (text, not null) by start and kind."""
+    """(doc_id, key, text_key, start, kind, end, value, before, after) of the valid matches."""
     none = F.expr("cast(array() as array<string>)")
     finds = {
         f"_m{i}": F.when(
@@ -103,24 +104,28 @@ def base_spans(docs: DataFrame) -> DataFrame:
         for i, kind in enumerate(KINDS[:4])
     }
     rows = computed(docs, **finds)
-    spans = []
-    for i, kind in enumerate(KINDS[:4]):
-        some = F.size(f"_m{i}") > 0
-        rows = rows.withColumn(f"_p{i}", F.when(some, F.split("text", PATTERNS[kind], -1)))
-        own = F.when(some, _located(f"_m{i}", f"_p{i}", i)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
-        spans.append(F.filter(own, _holds(kind)))
-    rows = computed(rows, base=F.sort_array(F.concat(*spans)))
-    return rows.drop(*[f"_{c}{i}" for c in "mp" for i in range(4)])
-
-
-def _near(text: Column, span: Column) -> Column:
-    """The words next to a span, without one that the window cuts."""
-    start = F.greatest(span["start"] - NEAR_CHARS, F.lit(0))
-    before = F.substring(text, start + 1, span["start"] - start)
-    before = F.when(start > 0, F.regexp_replace(before, r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS))
-    cut = F.length(text) > span["end"] + NEAR_CHARS
-    after = F.when(cut, F.regexp_replace(after, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++$", "")).otherwise(after)
+    some = [F.size(f"_m{i}") > 0 for i in range(4)]
+    rows = rows.where(some[0] | some[1] | some[2] | some[3])
+    pieces = {
+        f"_p{i}": F.when(some[i], F.split("text", PATTERNS[kind], -1))
+        for i, kind in enumerate(KINDS[:4])
+    }
+    rows = computed(rows, **pieces)
+    every = F.concat(*[_between(f"_m{i}", f"_p{i}", i) for i in range(4)])
+    rows = _placed(rows.select("doc_id", "key", "text_key", F.inline(every)))
+    valid = F.coalesce(
+        *[F.when(F.col("kind") == i, _valid(k, F.col("value"))) for i, k in enumerate(KINDS[:4])]
+    )
+    return rows.where(valid)
+
+
+def _near_words() -> Column:
+    """The words next to a span; one that the window may cut is left out."""
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    cut = F.length("before") > NEAR_CHARS
+    before = F.when(cut, F.regexp_replace("before", f"^{word}+", "")).otherwise(F.col("before"))
+    cut = F.length("after") > NEAR_CHARS
+    after = F.when(cut, F.regexp_replace("after", f"{word}++$", "")).otherwise(F.col("after"))
 
     def words(part: Column) -> Column:
         return F.array_remove(F.split(ascii_lower(part), GAP, -1), "")
@@ -175,11 +180,13 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
         F.lit(f"(?<!{edge})(?:"), F.array_join("list", "|"), F.lit(f")(?!{edge})")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    # The same text may stand in several rows of one id.
-    rows = docs.join(listed, same).select("_id", "_key", ascii_lower(F.col("text")).alias("low"), "list")
-    rows = computed(rows, _p=F.split("low", pattern, F.lit(-1)), _m=F.regexp_extract_all("low", pattern, F.lit(0)))
-    spans = F.when(F.size("_m") > 0, _located("_m", "_p", 4))
-    return rows.select("_id", "_key", spans.alias("terms")).dropDuplicates(["_id", "_key"])
+    rows = docs.join(listed, same).select(
+        "doc_id", "key", ascii_lower(F.col("text")).alias("low"), "list"
+    )
+    rows = computed(
+        rows, _p=F.split("low", pattern, F.lit(-1)), _m=F.regexp_extract_all("low", pattern, F.lit(0))
+    )
+    return _placed(rows.select("doc_id", "key", F.inline(_between("_m", "_p", 4))))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -198,21 +205,37 @@ def find(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("text_key"),
         text.alias("text"),
     )
-    near = F.transform("base", lambda s: _near(F.col("text"), s))
-    found = stored(
-        base_spans(rows).select("doc_id", "key", "text_key", "base", near.alias("near")), "base"
-    )
-    each = found.select("text_key", F.explode(F.arrays_zip("base", "near")).alias("s"))
-    each = each.select("text_key", F.lower("s.base.value").alias("value"), F.col("s.near").alias("near"))
+    names = ["doc_id", "key", "start", "kind", "end", "value"]
+    found = stored(base_spans(rows).withColumn("near", _near_words()), "base")
+    each = found.select("text_key", F.lower("value").alias("value"), "near")
     _, held = disclosing_terms(each, rows)
-    terms = _term_spans(rows, held)
+    spans = found.select(*names).unionByName(_term_spans(rows, held).select(*names))
+    order = Window.partitionBy("doc_id", "key").orderBy("start", "kind", "end")
+    is_base = F.col("kind") < 4
+    reached = F.max(F.when(is_base, F.col("end"))).over(
+        order.rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ahead = F.min(F.when(is_base, F.col("start"))).over(
+        order.rowsBetween(1, Window.unboundedFollowing)
+    )
+    free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (
+        F.coalesce(ahead, F.col("end")) >= F.col("end")
+    )
+    spans = spans.withColumn("free", is_base | free).where("free")
+    span = F.struct("start", "kind", "end", "value")
+    listed = spans.groupBy("doc_id", "key").agg(
+        F.sort_array(F.collect_list(F.when(is_base, span))).alias("base"),
+        F.sort_array(F.collect_list(span)).alias("spans"),
+    )
+    listed = listed.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "base", "spans")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    joined = found.join(terms, same, "left")
-    free = F.filter(
-        F.coalesce("terms", F.expr(f"cast(array() as {_SPANS})")),
-        lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])),
+    none = F.expr(f"cast(array() as {_SPANS})")
+    return rows.select("doc_id", "key").join(listed, same, "left").select(
+        "doc_id",
+        "key",
+        F.coalesce("base", none).alias("base"),
+        F.coalesce("spans", none).alias("spans"),
     )
-    return joined.select("doc_id", "key", "base", F.sort_array(F.concat("base", free)).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -234,6 +257,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     return rows.join(spans, same).select("doc_id", "text", clean.alias("clean"))
 
 
+def _of_kind(i: int):
+    return lambda span: span["kind"] == i
+
+
 def span_text(spans: str) -> Column:
     """kind:start:end of every span, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -183,7 +183,7 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP)
             )
         )
         met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
-            _link(max_bits, max(limit, 256)), "u long, v long, lo int"
+            _link(max_bits, limit if width > 8 else max(limit, 256)), "u long, v long, lo int"
         )
         met = stored(met, f"links-{width}")
         own = met.where(F.col("lo").isNull()).select("u", "v")

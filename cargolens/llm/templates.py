@@ -143,7 +143,8 @@ def drop_recurring_lines(docs: DataFrame, keep: list[str] | None = None) -> Data
     )
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    left = F.transform(places, lambda i: F.get(lines, i))
     return rows.join(dropped, same, "left").select(
         *keep,
         F.when(F.col("gone").isNull(), F.col("text"))
