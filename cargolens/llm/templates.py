@@ -37,8 +37,9 @@ def _needed() -> Column:
 
 def _tokens(line: Column) -> Column:
     """Tokens between white space; one with a digit is a field."""
-    masked = F.regexp_replace(F.trim(line), r"(?<!\S)[^\s0-9]*+[0-9]\S*+", _FIELD)
-    return F.split(masked, r"\s+", -1)
+    line = F.trim(line)
+    masked = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", _FIELD)
+    return F.split(F.when(line.rlike("[0-9]"), masked).otherwise(line), r"\s+", -1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
