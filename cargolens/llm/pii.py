@@ -154,20 +154,25 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
     )
     pairs = stored(pairs, "near-terms")
     terms = stored(pairs.select("term").distinct(), "terms")
-    words = F.split(ascii_lower(F.col("text")), GAP, -1)
+    words = F.array_distinct(F.split(ascii_lower(F.col("text")), GAP, -1))
     places = docs.select("doc_id", "key", "text_key", F.explode_outer(words).alias("term"))
-    held = stored(places.join(sized(terms), "term").distinct(), "term-texts")
+    # Copies of a text are one together: each of n rows counts as its nth part.
+    copies = docs.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = sized(stored(copies, "copies"))
+    part = F.lit(1.0) / F.coalesce("n", F.lit(1))
     known = (
-        held.groupBy("term", "text_key")
-        .agg(F.count(F.lit(1)))
+        places.select("text_key", "term")
+        .join(sized(terms), "term")
+        .join(copies, "text_key", "left")
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("all_texts"))
+        .agg(F.round(F.sum(part)).cast("long").alias("all_texts"))
     )
     share = F.col("texts") / F.col("all_texts")
     found = pairs.join(known, "term").withColumn("share", share).where(F.col("share") >= DISCLOSURE)
     found = stored(found.select("term", "value", "texts", "share"), "disclosing")
-    own = held.join(found.select("term").distinct(), "term", "left_semi")
-    return found, own.select("doc_id", "key", "term")
+    own = sized(stored(found.select("term").distinct(), "disclosing-terms"))
+    held = places.join(own, "term").select("doc_id", "key", "term").distinct()
+    return found, held
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
