@@ -152,7 +152,13 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
         .agg(F.count(F.lit(1)).alias("texts"))
         .where(F.col("texts") >= MIN_TEXTS)
     )
-    pairs = stored(pairs, "near-terms")
+    # A term is in no fewer texts than those that have it near any value.
+    least = near.select("term", "text_key").distinct().groupBy("term").count()
+    least = least.select(F.col("term").alias("_term"), F.col("count").alias("_least"))
+    pairs = pairs.join(least, F.col("term") == F.col("_term")).where(
+        F.col("texts") >= DISCLOSURE * F.col("_least")
+    )
+    pairs = stored(pairs.select("value", "term", "texts"), "near-terms")
     terms = stored(pairs.select("term").distinct(), "terms")
     words = F.array_distinct(F.split(ascii_lower(F.col("text")), GAP, -1))
     places = docs.select("doc_id", "key", "text_key", F.explode_outer(words).alias("term"))
