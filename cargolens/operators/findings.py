@@ -24,15 +24,6 @@ from cargolens.texts import PATTERN_TEXT, TEXTS
 # --- building -------------------------------------------------------------------------
 
 
-def _tags(ids: tuple) -> list[str]:
-    owasp, threats, sections = ids
-    return (
-        [f"owasp-ml:ml{i}" for i in owasp]
-        + [f"fstec:ubi-{i}" for i in threats]
-        + [f"gost:56939-2024:{i}" for i in sections]
-    )
-
-
 def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -81,14 +72,14 @@ def emit(
     """
     code_col, severity_col, confidence_col = _col(code), _col(severity), _col(confidence)
     texts = TEXTS if isinstance(code, str) else {c: TEXTS[c] for c in codes}
-    tags = fixed.TAG_IDS if isinstance(code, str) else {
-        c: fixed.TAG_IDS[c] for c in codes if c in fixed.TAG_IDS
+    tags = fixed.TAGS if isinstance(code, str) else {
+        c: fixed.TAGS[c] for c in codes if c in fixed.TAGS
     }
     refs = fixed.REFERENCE_IDS if isinstance(code, str) else {
         c: fixed.REFERENCE_IDS[c] for c in codes if c in fixed.REFERENCE_IDS
     }
     is_pattern = not isinstance(code, str) and not codes
-    no_tags = fixed.PATTERN_TAG_IDS if is_pattern else ((), (), ())
+    no_tags = fixed.PATTERN_TAGS if is_pattern else ()
 
     def table(values, default, render):
         if not isinstance(code, str) and not values:
@@ -125,7 +116,7 @@ def emit(
         (references if references is not None else table(refs, (), _references)).alias(
             "references"
         ),
-        table(tags, no_tags, lambda t: _strings(_tags(t))).alias("compliance_tags"),
+        table(tags, no_tags, _strings).alias("compliance_tags"),
     )
 
 
