@@ -74,13 +74,12 @@ def parent_domains(host: Column) -> Column:
 
 
 def trusted_domain(host: Column, domains: tuple[str, ...]) -> Column:
-    """The host or one of its parents is in the list; trailing dots do not matter."""
+    """The host or one of its parents is in the list; trailing dots do not matter.
+
+    Every parent is looked up in a set of literals, whatever the length of the list.
+    """
     if not domains:
         return F.lit(False)
-    if len(domains) > 200:
-        clean = F.regexp_replace(F.lower(host), r"\.+$", "")
-        return F.arrays_overlap(
-            parent_domains(clean), F.array(*[F.lit(d) for d in domains])
-        )
-    names = "|".join(d.replace(".", r"\.") for d in domains)
-    return F.lower(host).rlike(rf"(?:^|\.)(?:{names})\.*$")
+    names = sorted({d.lower().rstrip(".") for d in domains})
+    clean = F.regexp_replace(F.lower(host), r"\.+$", "")
+    return F.exists(parent_domains(clean), lambda d: d.isin(*names))

@@ -115,39 +115,36 @@ def compression_findings(
             ratio > fixed.RATIO_HIGH, F.lit("MLS-CMP-002")
         ),
     )
-    sized = rows.withColumn("code", size_code).filter("code is not null")
-    bombs = emit(
-        sized,
+    crowd_code = F.when(F.col("n_members") > fixed.MEMBERS_MEDIUM, F.lit("MLS-CMP-003"))
+    # one pass over the member tree gives both kinds of finding
+    found = rows.withColumn("code", F.explode(F.array_compact(F.array(size_code, crowd_code))))
+    code = F.col("code")
+    is_size = code != "MLS-CMP-003"
+    crowd = F.when(F.col("n_members") > fixed.MEMBERS_HIGH, "high").otherwise("medium")
+    return emit(
+        found,
         detector="compression",
-        code=F.col("code"),
-        codes=("MLS-CMP-001", "MLS-CMP-002"),
-        severity=F.when(extreme, "critical").otherwise("high"),
-        confidence=F.when(extreme, "high").otherwise("medium"),
-        message=F.concat(
-            human_size(size), F.lit(" unpack to "), human_size(unpacked),
-            F.lit(" ("), F.bround(ratio).cast("bigint").cast("string"), F.lit("x)"),
-        ),
+        code=code,
+        codes=("MLS-CMP-001", "MLS-CMP-002", "MLS-CMP-003"),
+        severity=F.when(is_size, F.when(extreme, "critical").otherwise("high")).otherwise(crowd),
+        confidence=F.when(is_size & extreme, "high").otherwise("medium"),
+        message=F.when(
+            is_size,
+            F.concat(
+                human_size(size), F.lit(" unpack to "), human_size(unpacked),
+                F.lit(" ("), F.bround(ratio).cast("bigint").cast("string"), F.lit("x)"),
+            ),
+        ).otherwise(F.concat(F.col("n_members").cast("string"), F.lit(" archive members"))),
         location=F.col("path"),
-        major=0,
+        major=F.when(is_size, 0).otherwise(1),
         details={
-            "compressed_size_bytes": size,
-            "unpacked_size_bytes": unpacked,
-            "compression_ratio": ratio,
-            "threshold_ratio": F.lit(fixed.RATIO_HIGH),
+            "compressed_size_bytes": F.when(is_size, size),
+            "unpacked_size_bytes": F.when(is_size, unpacked),
+            "compression_ratio": F.when(is_size, ratio),
+            "threshold_ratio": F.when(is_size, F.lit(fixed.RATIO_HIGH)),
+            "nested_count": F.when(~is_size, F.col("n_members")),
         },
     )
-    crowded = emit(
-        rows.filter(F.col("n_members") > fixed.MEMBERS_MEDIUM),
-        detector="compression",
-        code="MLS-CMP-003",
-        severity=F.when(F.col("n_members") > fixed.MEMBERS_HIGH, "high").otherwise("medium"),
-        confidence="medium",
-        message=F.concat(F.col("n_members").cast("string"), F.lit(" archive members")),
-        location=F.col("path"),
-        major=1,
-        details={"nested_count": F.col("n_members")},
-    )
-    return union_findings(bombs, crowded)
 
 
 # --- extraction budget --------------------------------------------------------------------------

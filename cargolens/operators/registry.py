@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
@@ -158,12 +159,28 @@ def _secrets(f: Facts) -> DataFrame:
     )
 
 
+def missing_tables(
+    facts: Facts, policy: Policy = PRESETS["default"]
+) -> dict[str, tuple[str, ...]]:
+    """The enabled detectors that cannot run, with the fact tables they lack."""
+    lacks = {
+        name: tuple(table for table in NEEDS.get(name, ()) if table not in facts)
+        for name in policy.detectors(registered())
+    }
+    return {name: tables for name, tables in lacks.items() if tables}
+
+
 def detect(facts: Facts, policy: Policy = PRESETS["default"]) -> DataFrame:
-    """Union of all enabled detectors whose fact tables are present."""
+    """Union of all enabled detectors; one that lacks a fact table is left out with a warning."""
+    lacks = missing_tables(facts, policy)
+    for name, tables in lacks.items():
+        warnings.warn(
+            f"detector {name} is left out, it needs: {', '.join(tables)}", stacklevel=2
+        )
     parts = [
         _DETECTORS[name](facts, **policy.detector_options(name))
         for name in policy.detectors(registered())
-        if all(table in facts for table in NEEDS.get(name, ()))
+        if name not in lacks
     ]
     if "custom_findings" in facts:
         parts.append(algebra.custom_findings(facts["custom_findings"]))

@@ -13,6 +13,7 @@ from cargolens.sources.packs import (
     bundle_patterns_from,
     load_pack,
     patterns_from,
+    prefixes_from,
     secret_rules_from,
 )
 from cargolens.sources.policy import PRESETS, Policy, load_policy, unknown_policy_keys
@@ -22,6 +23,6 @@ from cargolens.sources.tensors import tensor_headers
 __all__ = [
     "PRESETS", "Policy", "allowlist_from", "bundle_patterns_from", "config_references",
     "drop_companions", "hash_content", "list_artifacts", "load_pack", "load_policy",
-    "min_length", "patterns_from", "read_content", "secret_rules_from", "strings_from",
+    "min_length", "patterns_from", "prefixes_from", "read_content", "secret_rules_from", "strings_from",
     "tensor_headers", "unknown_policy_keys", "with_size_cap",
 ]

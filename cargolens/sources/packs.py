@@ -27,17 +27,36 @@ SECRET_RULES = pa.schema(
 )
 
 
-def load_pack(spark: SparkSession, path: str) -> DataFrame:
-    """A pack file as a DataFrame.  Parquet and JSON lines are read by Spark itself."""
+def _entries(pack, section: str | None) -> list[dict]:
+    """The entries of a section, each with the plain values that stand beside the sections.
+
+    Without a name it is the first section that has mappings, and other entries are skipped.
+    In a named section a text alone, such as a prefix, becomes a mapping of it as ``value``.
+    """
+    if not isinstance(pack, dict):
+        return [e for e in pack or [] if isinstance(e, dict)]
+    shared = {k: v for k, v in pack.items() if not isinstance(v, (list, dict))}
+    lists = [v for v in pack.values() if isinstance(v, list)]
+    if section is None:
+        entries = next((v for v in lists if any(isinstance(e, dict) for e in v)), [])
+    else:
+        named = pack.get(section) or []
+        entries = [{"value": e} if isinstance(e, str) else e for e in named]
+    return [shared | e for e in entries if isinstance(e, dict)]
+
+
+def load_pack(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
+    """A pack file as a DataFrame.  Parquet and JSON lines are read by Spark itself.
+
+    A YAML file can hold several ``section`` lists and values that all entries share.
+    """
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml
         except ImportError as exc:
             raise RuntimeError("reading a YAML pack needs PyYAML") from exc
-        entries = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-        if isinstance(entries, dict):
-            entries = next((v for v in entries.values() if isinstance(v, list)), [])
-        lines = [json.dumps(e) for e in entries if isinstance(e, dict)]
+        pack = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+        lines = [json.dumps(e) for e in _entries(pack, section)]
         return spark.read.json(spark.sparkContext.parallelize(lines))
     if path.endswith((".json", ".jsonl")):
         return spark.read.option("multiLine", path.endswith(".json")).json(path)
@@ -53,6 +72,16 @@ def allowlist_from(entries: DataFrame) -> DataFrame:
     )
 
 
+def prefixes_from(entries: DataFrame) -> DataFrame:
+    """(framework, prefix) of trusted module prefixes; an entry without either is skipped."""
+    prefix = "prefix" if "prefix" in entries.columns else "value"
+    return (
+        entries.select("framework", F.col(prefix).alias("prefix"))
+        .filter((F.col("framework") != "") & (F.col("prefix") != ""))
+        .distinct()
+    )
+
+
 def patterns_from(entries: DataFrame) -> DataFrame:
     """Vulnerability patterns, one row per pattern; an entry without id, callables or a
     readable severity is skipped."""

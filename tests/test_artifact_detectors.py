@@ -329,3 +329,22 @@ def test_config_walk_order_depth_and_broken_json(table):
     assert rows[("c", "lambda_layer_count")] == "0" == rows[("d", "lambda_layer_count")]
     payloads = keras.payload_strings(keras.config_facts(df)).orderBy("str_idx").collect()
     assert [r["value"] for r in payloads] == ["f()", "g()"]
+    errors = {r["artifact_id"]: r["error"] for r in keras.config_errors(df).collect()}
+    assert sorted(errors) == ["b", "d"] and errors["d"].endswith("nested deeper than 200")
+
+
+def test_long_payloads_stay_whole(table):
+    body = "x" * 9_000 + " last"
+    config = {"class_name": "Lambda", "config": {"function": body}}
+    df = table([("a", json.dumps(config))], "artifact_id string, config string")
+    payloads = keras.payload_strings(keras.config_facts(df)).collect()
+    assert [r["value"] for r in payloads] == [body]
+
+
+def test_both_kinds_of_bomb_in_one_archive(table):
+    rows = _archive(table, [(None, 2 * fixed.GIB // 1001, None, 1)] * 1001)
+    artifacts = table([("a", "p", 100 * 1024, "pytorch", None)], ARTIFACT)
+    found = {r["code"]: r for r in members.compression_findings(artifacts, rows).collect()}
+    assert set(found) == {"MLS-CMP-001", "MLS-CMP-003"}
+    assert set(found["MLS-CMP-003"]["details"]) == {"nested_count"}
+    assert "nested_count" not in found["MLS-CMP-001"]["details"]

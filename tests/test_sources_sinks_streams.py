@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cargolens import schema, streaming
 from cargolens.operators.findings import custom_findings, dedupe
+from cargolens.operators.secrets import secret_findings
 from cargolens.sinks import (
     sbom_report,
     with_index,
@@ -18,13 +19,16 @@ from cargolens.sinks import (
 )
 from cargolens.sources import (
     PRESETS,
+    allowlist_from,
     config_references,
     drop_companions,
     hash_content,
     list_artifacts,
     load_pack,
     load_policy,
+    prefixes_from,
     read_content,
+    secret_rules_from,
     tensor_headers,
 )
 
@@ -70,6 +74,30 @@ def test_packs_and_policies(spark, tmp_path):
     assert load_policy("strict") is PRESETS["strict"]
 
 
+def test_framework_pack_with_prefixes_before_pairs(spark, tmp_path):
+    pack = tmp_path / "own.yaml"
+    pack.write_text(
+        "framework: own\ntrusted_prefixes: [own.core, own.util]\n"
+        "globals:\n  - {module: own.core, name: build}\n  - {module: own.core}\n"
+    )
+    pairs = allowlist_from(load_pack(spark, str(pack))).collect()
+    assert [tuple(r) for r in pairs] == [("own", "own.core", "build")]
+    prefixes = prefixes_from(load_pack(spark, str(pack), "trusted_prefixes")).collect()
+    assert sorted(tuple(r) for r in prefixes) == [("own", "own.core"), ("own", "own.util")]
+
+
+def test_secret_pack_from_a_file(spark, table, tmp_path):
+    pack = tmp_path / "secrets.yaml"
+    pack.write_text(
+        "patterns:\n  - {name: own_key, pattern: 'own-[0-9]{6}', severity: High, case_sensitive: false}\n"
+    )
+    rules = secret_rules_from(load_pack(spark, str(pack)))
+    strings = table([("a", 0, 0, "an OWN-123456 key")],
+                    "artifact_id string, str_idx bigint, position bigint, value string")
+    found = secret_findings(strings, rules=rules).collect()
+    assert [(r["severity"], r["details"]["rule"]) for r in found] == [("high", "own_key")]
+
+
 def test_tensor_headers(table):
     def file(header, stated=None):
         body = json.dumps(header).encode() if not isinstance(header, bytes) else header

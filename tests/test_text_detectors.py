@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolens import schema
-from cargolens.functions.network import is_private_ip
+from cargolens.functions.network import is_private_ip, trusted_domain
 from cargolens.operators.network import extract_urls, network_findings
 from cargolens.operators.secrets import SECRET_RULES, SecretRule, secret_findings
 
@@ -157,3 +157,12 @@ def test_rules_without_hints_and_failed_artifacts(table):
                       "artifact_id string, path string, error string")
     rules = (SecretRule("id", r"id [0-9]{4}", "low"),)
     assert [r["artifact_id"] for r in secret_findings(strings, None, artifacts, rules).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("n", [0, 300])
+def test_trusted_domains_alike_for_any_length_of_the_list(table, n):
+    domains = ("Good.org", "a+b.net.", *[f"d{i}.example" for i in range(n)])
+    hosts = ["good.org", "x.GOOD.org..", "notgood.org", "a+b.net", "aab.net", "org", ""]
+    rows = table([(h,) for h in hosts], "host string")
+    got = {r[0]: r[1] for r in rows.select("host", trusted_domain(F.col("host"), domains)).collect()}
+    assert [h for h in hosts if got[h]] == ["good.org", "x.GOOD.org..", "a+b.net"]
