@@ -107,14 +107,14 @@ leafed AS (
   SELECT doc_id, text, pos, tokens, len(tokens) AS n, tokens[1:3] AS head FROM shaped),
 leaves AS (
   SELECT n, head FROM (SELECT DISTINCT n, head, doc_id, text FROM leafed)
-  GROUP BY n, head HAVING count(*) >= CASE WHEN n < 8 THEN 10 ELSE 3 END),
+  GROUP BY n, head HAVING count(*) >= CASE WHEN n < 8 THEN 10 WHEN n >= 50 THEN 2 ELSE 3 END),
 own AS (SELECT leafed.* FROM leafed JOIN leaves USING (n, head)),
 places AS (
   SELECT doc_id, text, pos, n, head, unnest(generate_series(1, n)) AS place, unnest(tokens) AS token
   FROM own),
 constant AS (
   SELECT n, head, place, token FROM (SELECT DISTINCT n, head, place, token, doc_id, text FROM places)
-  GROUP BY n, head, place, token HAVING count(*) >= CASE WHEN n < 8 THEN 10 ELSE 3 END),
+  GROUP BY n, head, place, token HAVING count(*) >= CASE WHEN n < 8 THEN 10 WHEN n >= 50 THEN 2 ELSE 3 END),
 marked AS (
   SELECT doc_id, text, pos, n, head,
          list({{'place': place, 'token': token}} ORDER BY place) AS template, count(*) AS constants
@@ -122,7 +122,7 @@ marked AS (
   HAVING count(*) >= 0.6 * n),
 recurring AS (
   SELECT n, head, template FROM (SELECT DISTINCT n, head, template, doc_id, text FROM marked)
-  GROUP BY n, head, template HAVING count(*) >= CASE WHEN n < 8 THEN 10 ELSE 3 END),
+  GROUP BY n, head, template HAVING count(*) >= CASE WHEN n < 8 THEN 10 WHEN n >= 50 THEN 2 ELSE 3 END),
 ranked AS (
   SELECT doc_id, text, pos, row_number() OVER (
            PARTITION BY n, head, template ORDER BY doc_id NULLS LAST, pos) AS nth

@@ -25,6 +25,9 @@ MIN_DOCS = 3
 #: Lines of fewer tokens can meet by chance and need more documents.
 SHORT_TOKENS = 8
 SHORT_DOCS = 10
+#: Lines of so many tokens don't meet by chance: two documents are enough.
+LONG_TOKENS = 50
+LONG_DOCS = 2
 #: Least share of constant tokens in a recurring template.
 CONSTANT = 0.6
 
@@ -32,7 +35,8 @@ _FIELD = "<*>"
 
 
 def _needed() -> Column:
-    return F.when(F.col("n") < SHORT_TOKENS, SHORT_DOCS).otherwise(MIN_DOCS)
+    n = F.col("n")
+    return F.when(n < SHORT_TOKENS, SHORT_DOCS).when(n >= LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS)
 
 
 def _tokens(line: Column) -> Column:
@@ -113,6 +117,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     common = _common(lines, "template").withColumnRenamed("template", "t")
     firsts = lines.groupBy("template").agg(F.min(first).alias("first"))
     kept = firsts.join(common, firsts["template"] == common["t"], "left_semi")
+    kept = sized(stored(kept, "firsts"))
     return (
         lines.join(kept, "template")
         .where(

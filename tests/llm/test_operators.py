@@ -146,6 +146,17 @@ def test_passages_go_and_clean_lines_stay(spark):
     assert out[6].endswith(passage)
 
 
+def test_a_long_passage_needs_two_documents(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, short = (" ".join(word() for _ in range(n)) for n in (60, 20))
+    rows = [(1, f"{passage}\n{short}"), (2, f"own\n{passage}\n{short}"), (3, " ".join(word() for _ in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in templates.drop_recurring_lines(df).collect()}
+    assert out[2].text == f"own\n{short}"
+    assert [out[i].n_dropped for i in (1, 2, 3)] == [0, 1, 0]
+
+
 # --- quality
 
 
