@@ -104,31 +104,37 @@ shaped AS (
            '{_SPACE}+') AS tokens
   FROM lines WHERE regexp_matches(parts[pos], '[^ \t\x0B\f\r]')),
 leafed AS (
-  SELECT doc_id, text, pos, tokens, len(tokens) AS n, tokens[1:3] AS head FROM shaped),
+  SELECT doc_id, text, pos, tokens, len(tokens) AS n, tokens[1:3] AS head,
+         CASE WHEN len(tokens) < 8 THEN 10 ELSE 3 END AS needed
+  FROM shaped
+  UNION ALL
+  SELECT doc_id, text, pos, [''], 1, ['whole', array_to_string(tokens, ' ')], 2
+  FROM shaped WHERE len(tokens) >= 50),
 leaves AS (
-  SELECT n, head FROM (SELECT DISTINCT n, head, doc_id, text FROM leafed)
-  GROUP BY n, head HAVING count(*) >= CASE WHEN n < 8 THEN 10 WHEN n >= 50 THEN 2 ELSE 3 END),
+  SELECT n, head FROM (SELECT DISTINCT n, head, needed, doc_id, text FROM leafed)
+  GROUP BY n, head, needed HAVING count(*) >= needed),
 own AS (SELECT leafed.* FROM leafed JOIN leaves USING (n, head)),
 places AS (
-  SELECT doc_id, text, pos, n, head, unnest(generate_series(1, n)) AS place, unnest(tokens) AS token
+  SELECT doc_id, text, pos, n, head, needed, unnest(generate_series(1, n)) AS place, unnest(tokens) AS token
   FROM own),
 constant AS (
-  SELECT n, head, place, token FROM (SELECT DISTINCT n, head, place, token, doc_id, text FROM places)
-  GROUP BY n, head, place, token HAVING count(*) >= CASE WHEN n < 8 THEN 10 WHEN n >= 50 THEN 2 ELSE 3 END),
+  SELECT n, head, place, token
+  FROM (SELECT DISTINCT n, head, needed, place, token, doc_id, text FROM places)
+  GROUP BY n, head, needed, place, token HAVING count(*) >= needed),
 marked AS (
-  SELECT doc_id, text, pos, n, head,
+  SELECT doc_id, text, pos, n, head, needed,
          list({{'place': place, 'token': token}} ORDER BY place) AS template, count(*) AS constants
-  FROM places JOIN constant USING (n, head, place, token) GROUP BY doc_id, text, pos, n, head
-  HAVING count(*) >= 0.6 * n),
+  FROM places JOIN constant USING (n, head, place, token)
+  GROUP BY doc_id, text, pos, n, head, needed HAVING count(*) >= 0.6 * n),
 recurring AS (
-  SELECT n, head, template FROM (SELECT DISTINCT n, head, template, doc_id, text FROM marked)
-  GROUP BY n, head, template HAVING count(*) >= CASE WHEN n < 8 THEN 10 WHEN n >= 50 THEN 2 ELSE 3 END),
+  SELECT n, head, template FROM (SELECT DISTINCT n, head, needed, template, doc_id, text FROM marked)
+  GROUP BY n, head, needed, template HAVING count(*) >= needed),
 ranked AS (
   SELECT doc_id, text, pos, row_number() OVER (
            PARTITION BY n, head, template ORDER BY doc_id NULLS LAST, pos) AS nth
   FROM marked JOIN recurring USING (n, head, template)),
 gone AS (
-  SELECT doc_id, text, list(pos) AS gone FROM ranked WHERE nth > 1 GROUP BY doc_id, text)
+  SELECT doc_id, text, list(DISTINCT pos) AS gone FROM ranked WHERE nth > 1 GROUP BY doc_id, text)
 SELECT docs.doc_id,
        CASE WHEN gone IS NULL THEN docs.text ELSE
          coalesce(array_to_string(list_transform(

@@ -4,7 +4,8 @@ Columns and joins only.  A line goes down a tree of fixed depth: its number of t
 its leading tokens, where a token with a digit is a field and stands as one mark.  In a leaf
 a token is constant at its place if enough documents have it there, and a field if not; a
 line's template is its constants in their places.  A template that enough documents share,
-and that is constant for the most part, recurs: its lines go, but for the first.
+and that is constant for the most part, recurs: its lines go, but for the first.  A long
+line also stands whole, as one token in a leaf of its own, where two documents are enough.
 
 A tree that is grown line by line gives templates that hang on the order of lines; here the
 constants of a leaf are counted over all its lines, so the order has no part in it.  Only
@@ -25,7 +26,7 @@ MIN_DOCS = 3
 #: Lines of fewer tokens can meet by chance and need more documents.
 SHORT_TOKENS = 8
 SHORT_DOCS = 10
-#: Lines of so many tokens don't meet by chance: two documents are enough.
+#: Lines of so many tokens don't meet by chance: two documents are enough if all agree.
 LONG_TOKENS = 50
 LONG_DOCS = 2
 #: Least share of constant tokens in a recurring template.
@@ -34,11 +35,6 @@ CONSTANT = 0.6
 _FIELD = "<*>"
 
 
-def _needed() -> Column:
-    n = F.col("n")
-    return F.when(n < SHORT_TOKENS, SHORT_DOCS).when(n >= LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS)
-
-
 def _tokens(line: Column) -> Column:
     """Tokens between white space; one with a digit is a field."""
     line = F.trim(line)
@@ -47,7 +43,11 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, pos, tokens, n, leaf) of every line that is not blank."""
+    """(doc_id, doc, pos, leaf, needed, n, tokens) of every line that is not blank.
+
+    ``needed`` is the number of documents that make something recur in the leaf.  A long line
+    comes twice: by its tokens, and whole.
+    """
     key = F.xxhash64("doc_id", "text")
     lines = docs.select(
         "doc_id",
@@ -56,19 +56,30 @@ def _lines(docs: DataFrame) -> DataFrame:
     ).where(F.col("line").isNotNull() & F.col("line").rlike(r"\S"))
     split = lines.select("doc_id", "doc", "pos", F.explode(F.array(_tokens(F.col("line")))).alias("tokens"))
     n = F.size("tokens")
-    return split.select(
-        "*", n.alias("n"), F.xxhash64(n, F.slice("tokens", 1, DEPTH)).alias("leaf")
+    by_tokens = F.struct(
+        F.xxhash64(n, F.slice("tokens", 1, DEPTH)).alias("leaf"),
+        F.when(n < SHORT_TOKENS, SHORT_DOCS).otherwise(MIN_DOCS).alias("needed"),
+        n.alias("n"),
+        F.col("tokens"),
+    )
+    whole = F.struct(
+        F.xxhash64(F.lit("whole"), "tokens").alias("leaf"),
+        F.lit(LONG_DOCS).alias("needed"),
+        F.lit(1).alias("n"),
+        F.array(F.lit("")).alias("tokens"),
     )
+    forms = F.when(n >= LONG_TOKENS, F.array(by_tokens, whole)).otherwise(F.array(by_tokens))
+    return split.select("doc_id", "doc", "pos", F.inline(forms))
 
 
 def _common(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that enough documents have; every document counts once."""
     return (
         rows.groupBy(*key, "doc")
-        .agg(F.min("n").alias("n"))
+        .agg(F.min("needed").alias("needed"))
         .groupBy(*key)
-        .agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("docs"))
-        .where(F.col("docs") >= _needed())
+        .agg(F.min("needed").alias("needed"), F.count(F.lit(1)).alias("docs"))
+        .where(F.col("docs") >= F.col("needed"))
         .select(*key)
     )
 
@@ -78,14 +89,14 @@ def _place(leaf: Column, at: Column, token: Column) -> Column:
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, pos, n, template, constants) of the lines in leaves that recur."""
-    shape = _lines(docs).select("doc", "n", "leaf")
+    """(doc_id, doc, pos, needed, n, template, constants) of the lines in leaves that recur."""
+    shape = _lines(docs).select("doc", "needed", "leaf")
     leaves = sized(stored(_common(shape, "leaf"), "leaves"))
     own = _lines(docs).join(leaves, "leaf")
-    places = own.select(
-        "doc_id", "doc", "pos", "n", "leaf", F.posexplode("tokens").alias("at", "token")
-    ).select(
-        "doc_id", "doc", "pos", "n", "leaf", _place(F.col("leaf"), F.col("at"), F.col("token")).alias("place")
+    line = ["doc_id", "doc", "pos", "needed", "n", "leaf"]
+    place = _place(F.col("leaf"), F.col("at"), F.col("token"))
+    places = own.select(*line, F.posexplode("tokens").alias("at", "token")).select(
+        *line, place.alias("place")
     )
     places = stored(places, "places")
     constant = sized(stored(_common(places, "place"), "constants"))
@@ -95,6 +106,7 @@ def templates(docs: DataFrame) -> DataFrame:
     return (
         known.groupBy("doc_id", "doc", "pos", "leaf")
         .agg(
+            F.max("needed").alias("needed"),
             F.max("n").alias("n"),
             F.sum(mark).alias("sum"),
             F.count(mark).alias("constants"),
