@@ -24,6 +24,7 @@ ACCEPT = 0.3
 
 _CLASSES = 10
 _CHUNK = 1 << 20
+_BLOCK = 4096
 _RIDGE = 1e-3
 
 
@@ -139,12 +140,15 @@ def fit(x: np.ndarray, good: np.ndarray, n_pairs: int = PAIRS, seed: int = 7) ->
     z = (x - centre) / scale
     rng = np.random.default_rng(seed)
     better, worse = np.flatnonzero(good), np.flatnonzero(~good)
-    diff = z[rng.choice(better, n_pairs)] - z[rng.choice(worse, n_pairs)]
+    left, right = rng.choice(better, n_pairs), rng.choice(worse, n_pairs)
     weights = np.zeros(width)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(diff @ weights, -500, 500)))  # of preferring the worse
-        slope = diff.T @ p / n_pairs - _RIDGE * weights
-        bend = (diff * (p * (1 - p))[:, None]).T @ diff / n_pairs + _RIDGE * np.eye(width)
+        slope, bend = -_RIDGE * weights, _RIDGE * np.eye(width)
+        for i in range(0, n_pairs, _BLOCK):  # the driver holds the differences of one block
+            diff = z[left[i : i + _BLOCK]] - z[right[i : i + _BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(diff @ weights, -500, 500)))  # of preferring the worse
+            slope += diff.T @ p / n_pairs
+            bend += (diff * (p * (1 - p))[:, None]).T @ diff / n_pairs
         step = np.linalg.solve(bend, slope)
         step *= min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
         weights = weights + step
