@@ -13,6 +13,7 @@ from cargolens.functions.text import compliance_tag
 from cargolens.session import rule_table
 
 UNMAPPED = "_unmapped"
+TOTAL = "_total"
 
 
 def requirement_ids(code: Column, mapping: Mapping[str, Sequence[str]]) -> Column:
@@ -51,7 +52,10 @@ def map_compliance(
 
 
 def category_report(findings: DataFrame) -> DataFrame:
-    """All ten categories with their findings, clean ones too, and the overall total."""
+    """All ten categories with their findings, clean ones too, and a row with the total.
+
+    A finding of two categories counts in both, and twice in the total.
+    """
     spark = findings.sparkSession
     mapped = map_compliance(findings.select("code"), "owasp_ml")
     counts = mapped.groupBy(F.col("requirement").alias("category")).agg(
@@ -63,10 +67,12 @@ def category_report(findings: DataFrame) -> DataFrame:
         pa.schema([("category", pa.string())]),
     )
     n = F.coalesce("n_findings", F.lit(0).cast("bigint"))
-    return categories.join(counts, "category", "left").select(
+    every = categories.join(counts, "category", "left").select("category", n.alias("n_findings"))
+    total = every.agg(F.lit(TOTAL).alias("category"), F.sum("n_findings").alias("n_findings"))
+    return every.unionByName(total).select(
         "category",
-        F.when(n > 0, "hit").otherwise("clean").alias("status"),
-        n.alias("n_findings"),
+        F.when(F.col("n_findings") > 0, "hit").otherwise("clean").alias("status"),
+        "n_findings",
     )
 
 

@@ -111,6 +111,7 @@ def kv_findings(metadata: DataFrame, artifacts: DataFrame) -> DataFrame:
         details={
             "key": F.when(~code.isin("MLS-GGUF-005", "MLS-GGUF-006"), key),
             "value_preview": F.when(code == "MLS-GGUF-001", F.substring("value", 1, 200)),
+            "value_sha256": F.when(code == "MLS-GGUF-001", F.sha2("value", 256)),
             "url": F.when(code == "MLS-GGUF-002", F.col("what")),
             "ip": F.when(code == "MLS-GGUF-003", F.col("what")),
             "value_length": F.when(code == "MLS-GGUF-004", F.col("what")),

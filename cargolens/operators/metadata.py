@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolens import fixed
 from cargolens.functions.text import is_object_dtype
-from cargolens.operators.findings import emit, union_findings
+from cargolens.operators.findings import emit
 
 
 def _facts(metadata: DataFrame, artifacts: DataFrame, scanner: str, keys: tuple) -> DataFrame:
@@ -23,6 +23,30 @@ def _count(key: str) -> Column:
     return F.coalesce(F.col(key).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def _each(rows: DataFrame, *kinds: tuple) -> DataFrame:
+    """The rows once for every kind whose condition holds, with code, severity, confidence,
+    message and, as ``major``, the number of the kind; the rows are read once.
+
+    A kind is (condition, code, severity, confidence, message).
+    """
+    found = [
+        F.when(
+            condition,
+            F.struct(
+                F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"),
+                F.lit(severity).alias("severity")
+                if isinstance(severity, str)
+                else severity.alias("severity"),
+                F.lit(confidence).alias("confidence"),
+                message.alias("message"),
+                F.lit(i).alias("major"),
+            ),
+        )
+        for i, (condition, code, severity, confidence, message) in enumerate(kinds)
+    ]
+    return rows.select("*", F.inline(F.array_compact(F.array(*found))))
+
+
 def keras_findings(
     metadata: DataFrame, artifacts: DataFrame, escalate_unverified: bool = False
 ) -> DataFrame:
@@ -33,46 +57,53 @@ def keras_findings(
         ("h5py_available", "lambda_layer_count", "lambda_layers",
          "custom_object_count", "custom_objects"),
     )
-    path = F.col("path")
-    unread = emit(
-        rows.filter(F.col("h5py_available") == "false"),
-        detector="keras",
-        code="MLS-KERAS-003",
-        severity="high" if escalate_unverified else "medium",
-        confidence="certain",
-        message=F.lit("Not analysed: the HDF5 reader is missing"),
-        location=path,
-        major=0,
-    )
-    lambdas = emit(
-        rows.filter(_count("lambda_layer_count") > 0),
-        detector="keras",
-        code="MLS-KERAS-001",
-        severity="critical",
-        confidence="high",
-        message=F.concat(_count("lambda_layer_count").cast("string"), F.lit(" Lambda layers")),
-        location=path,
-        major=1,
-        details={
-            "lambda_layer_count": _count("lambda_layer_count"),
-            "lambda_layers": F.col("lambda_layers"),
-        },
+    lambdas, custom = _count("lambda_layer_count"), _count("custom_object_count")
+    found = _each(
+        rows,
+        (
+            F.col("h5py_available") == "false",
+            "MLS-KERAS-003",
+            "high" if escalate_unverified else "medium",
+            "certain",
+            F.lit("Not analysed: the HDF5 reader is missing"),
+        ),
+        (
+            lambdas > 0,
+            "MLS-KERAS-001",
+            "critical",
+            "high",
+            F.concat(lambdas.cast("string"), F.lit(" Lambda layers")),
+        ),
+        (
+            custom > 0,
+            "MLS-KERAS-002",
+            "high",
+            "medium",
+            F.concat(custom.cast("string"), F.lit(" custom objects")),
+        ),
     )
-    custom = emit(
-        rows.filter(_count("custom_object_count") > 0),
+    code = F.col("code")
+
+    def only(of: str, value: Column) -> Column:
+        return F.when(code == of, value)
+
+    return emit(
+        found,
         detector="keras",
-        code="MLS-KERAS-002",
-        severity="high",
-        confidence="medium",
-        message=F.concat(_count("custom_object_count").cast("string"), F.lit(" custom objects")),
-        location=path,
-        major=2,
+        code=code,
+        codes=("MLS-KERAS-001", "MLS-KERAS-002", "MLS-KERAS-003"),
+        severity=F.col("severity"),
+        confidence=F.col("confidence"),
+        message=F.col("message"),
+        location=F.col("path"),
+        major=F.col("major"),
         details={
-            "custom_object_count": _count("custom_object_count"),
-            "custom_objects": F.col("custom_objects"),
+            "lambda_layer_count": only("MLS-KERAS-001", lambdas),
+            "lambda_layers": only("MLS-KERAS-001", F.col("lambda_layers")),
+            "custom_object_count": only("MLS-KERAS-002", custom),
+            "custom_objects": only("MLS-KERAS-002", F.col("custom_objects")),
         },
     )
-    return union_findings(unread, lambdas, custom)
 
 
 def joblib_findings(metadata: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -84,43 +115,47 @@ def joblib_findings(metadata: DataFrame, artifacts: DataFrame) -> DataFrame:
         ("joblib_missing_codec", "joblib_decompression_bomb", "joblib_bomb_kind",
          "joblib_bomb_method", "joblib_bomb_ratio", "joblib_bomb_limit_bytes"),
     )
-    path = F.col("path")
     codec = F.col("joblib_missing_codec")
-    code = F.when(codec == "lz4", "MLS-JOBLIB-001").when(codec == "zstd", "MLS-JOBLIB-002")
-    missing = emit(
-        rows.withColumn("code", code).filter("code is not null"),
-        detector="joblib_metadata",
-        code=F.col("code"),
-        codes=("MLS-JOBLIB-001", "MLS-JOBLIB-002"),
-        severity="info",
-        confidence="certain",
-        message=F.concat(F.lit("Not analysed: codec "), codec, F.lit(" is missing")),
-        location=path,
-        major=0,
-        details={"codec": codec},
-    )
+    missing = F.when(codec == "lz4", "MLS-JOBLIB-001").when(codec == "zstd", "MLS-JOBLIB-002")
     is_ratio = F.coalesce(F.col("joblib_bomb_kind") == "ratio", F.lit(False))
-    bomb = F.when(is_ratio, "MLS-BOMB-001").otherwise("MLS-JOBLIB-003")
-    bombs = emit(
-        rows.filter(F.col("joblib_decompression_bomb") == "true").withColumn("code", bomb),
+    found = _each(
+        rows,
+        (
+            missing.isNotNull(),
+            missing,
+            "info",
+            "certain",
+            F.concat(F.lit("Not analysed: codec "), codec, F.lit(" is missing")),
+        ),
+        (
+            F.col("joblib_decompression_bomb") == "true",
+            F.when(is_ratio, "MLS-BOMB-001").otherwise("MLS-JOBLIB-003"),
+            F.when(is_ratio, "high").otherwise("medium"),
+            "high",
+            F.concat(
+                F.lit("Decompression bomb, method "),
+                F.coalesce("joblib_bomb_method", F.lit("unknown")),
+            ),
+        ),
+    )
+    is_bomb = F.col("major") == 1
+    return emit(
+        found,
         detector="joblib_metadata",
         code=F.col("code"),
-        codes=("MLS-BOMB-001", "MLS-JOBLIB-003"),
-        severity=F.when(F.col("code") == "MLS-BOMB-001", "high").otherwise("medium"),
-        confidence="high",
-        message=F.concat(
-            F.lit("Decompression bomb, method "),
-            F.coalesce("joblib_bomb_method", F.lit("unknown")),
-        ),
-        location=path,
-        major=1,
+        codes=("MLS-JOBLIB-001", "MLS-JOBLIB-002", "MLS-BOMB-001", "MLS-JOBLIB-003"),
+        severity=F.col("severity"),
+        confidence=F.col("confidence"),
+        message=F.col("message"),
+        location=F.col("path"),
+        major=F.col("major"),
         details={
-            "method": F.col("joblib_bomb_method"),
-            "ratio": F.col("joblib_bomb_ratio"),
-            "limit_bytes": F.col("joblib_bomb_limit_bytes"),
+            "codec": F.when(~is_bomb, codec),
+            "method": F.when(is_bomb, F.col("joblib_bomb_method")),
+            "ratio": F.when(is_bomb, F.col("joblib_bomb_ratio")),
+            "limit_bytes": F.when(is_bomb, F.col("joblib_bomb_limit_bytes")),
         },
     )
-    return union_findings(missing, bombs)
 
 
 def _object_arrays(metadata: DataFrame) -> DataFrame:
@@ -154,7 +189,7 @@ def _numpy_all_the_way(found: DataFrame, members: DataFrame) -> DataFrame:
         "artifact_id", F.col("member_id").alias("cursor"), F.col("parent_id").alias("above")
     )
     climbing = found.withColumn("cursor", F.col("parent_id"))
-    for _ in range(min(deepest, fixed.MAX_NESTED_DEPTH) - 1):
+    for _ in range(deepest - 1):
         climbing = (
             climbing.join(
                 parents.withColumn("known", F.lit(True)), ["artifact_id", "cursor"], "left"
@@ -169,7 +204,7 @@ def _numpy_all_the_way(found: DataFrame, members: DataFrame) -> DataFrame:
 def numpy_findings(
     artifacts: DataFrame, metadata: DataFrame, members: DataFrame | None = None
 ) -> DataFrame:
-    """Object arrays of an artifact and of its members up to the nesting limit.
+    """Object arrays of an artifact and of its members at every depth.
 
     Members carry their metadata under their ``member_id``; a member counts when numpy read
     it and everything above it.
@@ -184,9 +219,7 @@ def numpy_findings(
     )
     if members is not None:
         inner = (
-            members.filter(
-                (F.col("scanner") == "numpy") & (F.col("depth") <= fixed.MAX_NESTED_DEPTH)
-            )
+            members.filter(F.col("scanner") == "numpy")
             .select("artifact_id", "member_id", "parent_id", "name", "depth")
             .join(objects, F.col("member_id") == F.col("owner"))
             .join(own, "artifact_id")

@@ -211,10 +211,7 @@ def network_findings(
         major=F.col("str_idx"),
         minor=F.col("minor"),
         details={
-            "url": F.when(
-                is_url,
-                F.when(c == "MLS-NET-007", F.substring("raw", 1, 200)).otherwise(F.col("raw")),
-            ),
+            "url": F.when(is_url, F.col("raw")),
             "domain": F.when(c.isin("MLS-NET-001", "MLS-NET-002"), host),
             "whitelisted": F.when(
                 c.isin("MLS-NET-001", "MLS-NET-002"), c == "MLS-NET-001"

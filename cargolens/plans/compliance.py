@@ -61,7 +61,10 @@ def requirement_map(spark, sf_dir):
           LEFT JOIN (SELECT f.code, m.requirement FROM $findings f
                      JOIN ({CODE_MAP_SQL}) m ON m.code = f.code AND m.standard = 'owasp_ml') x
             ON x.requirement = category
-          GROUP BY 1) g
+          GROUP BY 1
+          UNION ALL
+          SELECT '_total', (SELECT count(m.requirement) FROM $findings f
+                            JOIN ({CODE_MAP_SQL}) m ON m.code = f.code AND m.standard = 'owasp_ml')) g
     """,
 )
 def category_report(spark, sf_dir):

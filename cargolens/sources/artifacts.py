@@ -75,18 +75,31 @@ def drop_companions(artifacts: DataFrame) -> DataFrame:
     return artifacts.filter(~is_companion_file(F.col("path")))
 
 
-def read_content(spark: SparkSession, path: str, max_bytes: int, **options: str) -> DataFrame:
-    """(artifact_id, length, content) of the files within the cap; longer files stay unread.
+#: Longest content one row can hold.
+ROW_BYTES = 2**31 - 16
 
-    The filter on ``length`` reaches the file source, which then skips the bytes.
+
+def read_content(
+    spark: SparkSession, path: str, max_bytes: int = ROW_BYTES, **options: str
+) -> DataFrame:
+    """(artifact_id, length, content, error) of every file.
+
+    A file beyond the cap, or beyond what one row can hold, comes back with a null content
+    and an error.  The filter on ``length`` reaches the file source, which then skips the
+    bytes; without the content column the source reads none.
     """
-    return (
-        spark.read.format("binaryFile")
-        .options(**options)
-        .load(path)
-        .filter(F.col("length") <= max_bytes)
-        .select(_plain_path(F.col("path")).alias("artifact_id"), "length", "content")
+    limit = min(max_bytes, ROW_BYTES)
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    name = _plain_path(F.col("path")).alias("artifact_id")
+    none = F.lit(None).cast("string")
+    read = files.filter(F.col("length") <= limit).select(
+        name, "length", "content", none.alias("error")
+    )
+    too_long = F.format_string(f"file of %d bytes exceeds the limit of {limit}", "length")
+    unread = files.filter(F.col("length") > limit).select(
+        name, "length", none.cast("binary").alias("content"), too_long.alias("error")
     )
+    return read.unionByName(unread)
 
 
 def hash_content(contents: DataFrame, md5: bool = False) -> DataFrame:

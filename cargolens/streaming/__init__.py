@@ -1,20 +1,20 @@
 """Structured Streaming forms of the operators.
 
 Detectors that work row by row run unchanged on a stream.  Merging findings that repeat
-needs state: ``stream_dedup`` keeps one row per key within the watermark, and the ordered
-merge runs per micro-batch in ``merge_batches``.
+needs state: ``stream_dedup`` keeps one row per key within the watermark; ``merge_batches``
+stores the first findings of every micro-batch and ``merged_result`` merges what is stored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cargolens.operators.findings import dedupe
-from cargolens.operators.network import extract_ipv4, extract_urls
+from cargolens.operators.findings import dedupe, first_by_location
+from cargolens.operators.network import ipv4_matches, url_matches
 
 KEYS = ("artifact_id", "code", "location")
 
@@ -25,14 +25,19 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **
 
 
 def stream_indicators(strings: DataFrame) -> DataFrame:
-    """URL and address matches of a stream of strings (stateless)."""
-    urls = extract_urls(strings).select(
-        "artifact_id", "str_idx", "match_idx", F.lit("url").alias("kind"), F.col("url").alias("value")
-    )
-    ips = extract_ipv4(strings).select(
-        "artifact_id", "str_idx", "match_idx", F.lit("ip").alias("kind"), F.col("ip").alias("value")
-    )
-    return urls.unionByName(ips)
+    """URL and address matches of a stream of strings (stateless), in one pass over it."""
+
+    def found(kind: str, matches: Column) -> Column:
+        return F.transform(
+            matches,
+            lambda value, i: F.struct(
+                i.alias("match_idx"), F.lit(kind).alias("kind"), value.alias("value")
+            ),
+        )
+
+    ips = F.transform(ipv4_matches(F.col("value")), lambda ip: F.substring_index(ip, ":", 1))
+    matches = F.concat(found("url", url_matches(F.col("value"))), found("ip", ips))
+    return strings.select("artifact_id", "str_idx", F.inline(matches))
 
 
 def stream_dedup(
@@ -72,12 +77,15 @@ def start_append(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 
 
 def merge_batches(
-    findings: DataFrame, folder: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = dedupe
+    findings: DataFrame,
+    folder: str,
+    checkpoint: str,
+    finish: Callable[[DataFrame], DataFrame] = first_by_location,
 ) -> StreamingQuery:
-    """Run the ordered merge on every micro-batch.
+    """Run an aggregate on every micro-batch: the first finding of each code and location.
 
-    Merges do not reach across batches.  A batch writes its own folder and overwrites it
-    when it is run again, so a retried batch leaves no duplicates.
+    A batch writes its own folder and overwrites it when it is run again, so a retried
+    batch leaves no duplicates.  ``merged_result`` merges across the batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -91,7 +99,16 @@ def merge_batches(
     )
 
 
+def merged_result(spark: SparkSession, folder: str) -> DataFrame:
+    """The ordered merge of what ``merge_batches`` wrote, whatever the batches were.
+
+    The batches hold first findings, not merged ones: the first of firsts is the first of
+    all, while merged findings of two batches could not be told apart again.
+    """
+    return dedupe(spark.read.option("basePath", folder).parquet(folder).drop("batch"))
+
+
 __all__ = [
-    "merge_batches", "read_stream", "start_append", "stream_counts",
+    "merge_batches", "merged_result", "read_stream", "start_append", "stream_counts",
     "stream_dedup", "stream_indicators",
 ]

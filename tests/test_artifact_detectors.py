@@ -312,6 +312,23 @@ def test_numpy_members_need_numpy_all_the_way_up(table):
     assert sorted(r["path"] for r in found) == ["p.npz", "p.npz/w.npy", "p.npz/x.npy"]
 
 
+def test_numpy_members_at_depth_twelve(table):
+    artifacts = table([("a", "p.npz", 1, "numpy", None)], ARTIFACT)
+    rows = table(
+        [("a", f"m{i}", f"m{i - 1}" if i > 1 else None, i, f"{i}.npz", 1, "numpy", None, i)
+         for i in range(1, 13)], schema.MEMBERS)
+    facts = table([("m12", "object_dtype_detected", "true")], schema.METADATA)
+    assert [r["path"] for r in metadata.numpy_findings(artifacts, facts, rows).collect()] == [
+        "p.npz/12.npz"]
+
+
+def test_long_first_instruction_routes_like_a_short_one(table):
+    rows = [(bytearray(b"B" + struct.pack("<I", n) + b"x" * n + b"."),) for n in (100, 8000)]
+    df = table(rows, "content binary")
+    found = df.select(formats.opens_stream(F.col("content")).alias("x")).collect()
+    assert [r["x"] for r in found] == [True, True]
+
+
 def test_config_walk_order_depth_and_broken_json(table):
     deep = {"class_name": "Lambda", "config": {"name": "deep"}}
     for _ in range(60):

@@ -58,8 +58,11 @@ def test_inventory(spark, folder):
 
 def test_content_and_hashes(spark, folder):
     contents = read_content(spark, str(folder), 4, pathGlobFilter="*.*")
-    assert sorted(r["length"] for r in contents.collect()) == [2, 3]
-    row = hash_content(contents).first()
+    read = contents.filter("error is null")
+    assert sorted(r["length"] for r in read.collect()) == [2, 3]
+    unread = contents.filter("error is not null").collect()
+    assert unread and all(r["content"] is None and r["length"] > 4 for r in unread)
+    row = hash_content(read).first()
     assert len(row["sha256"]) == 64 and len(row["sha512"]) == 128 and row["md5"] is None
 
 
@@ -228,8 +231,11 @@ def test_stream_dedup_and_merge(spark, tmp_path):
         streaming.stream_dedup(stream, "ts"), str(tmp_path / "d"), str(tmp_path / "ds")
     ).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "d")).count() == 2
-    found = custom_findings(streaming.read_stream(spark, str(tmp_path / "in"), file_schema).drop("ts"))
-    streaming.merge_batches(found, str(tmp_path / "m"), str(tmp_path / "ms")).awaitTermination()
-    merged = spark.read.parquet(str(tmp_path / "m")).collect()
-    assert [(r["code"], r["severity"]) for r in merged] == [("MLS-CVE-1", "high")]
+    for files in (1, 2):
+        batches = streaming.read_stream(
+            spark, str(tmp_path / "in"), file_schema, maxFilesPerTrigger=files)
+        out, state = str(tmp_path / f"m{files}"), str(tmp_path / f"s{files}")
+        streaming.merge_batches(custom_findings(batches.drop("ts")), out, state).awaitTermination()
+        merged = streaming.merged_result(spark, out).collect()
+        assert [(r["code"], r["severity"]) for r in merged] == [("MLS-CVE-1", "high")]
     assert dedupe(custom_findings(spark.read.parquet(str(tmp_path / "in")).drop("ts"))).count() == 1
