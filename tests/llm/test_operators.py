@@ -385,6 +385,26 @@ def test_ids_are_those_of_the_tokenizer(texts):
         assert got == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_have_the_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end, rng = "<|endoftext|>", random.Random(3)
+    bits = ["a", " ", "  ", "\n", "é", "1", "!", "'s", "<|", "endoftext", "|>", end]
+    odd = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(300)]
+    fixed = [f"a {end} b", end, end * 3, f"{end}\n x", f"a  {end}  b", "<|endoftext|", f"w {end} " * 1500]
+    rows = list(enumerate([*fixed, *odd]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in packing.pack(df, with_ids=True).orderBy("doc_id", "piece").collect():
+        assert r.start == len(got[r.doc_id]) and r.ids_crc32 == zlib.crc32(r.ids)
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    for i, text in rows:
+        assert got[i] == [*whole.encode(text, add_special_tokens=False).ids, 0]
+    assert got[0] == [64, 220, 50256, 275, 0]
+
+
 def test_long_texts_are_cut_at_words(monkeypatch):
     from cargolens.llm import bpe
 
