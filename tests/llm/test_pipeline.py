@@ -65,6 +65,35 @@ def test_near_copies_leave_one(spark):
     assert kept == [g[0] for g in groups] + list(range(100, 130)) + [None, None]
 
 
+def _five_words(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_edited_copies_leave_one(spark):
+    rng = random.Random(11)
+    rows, near, far = [], [], []
+    for g in range(60):
+        words = _words(rng, rng.randint(80, 400)).split()
+        edited = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) * (g % 4) // 50)):
+            edited[at] = _words(rng, 1)
+        texts = [" ".join(words), " ".join(edited)]
+        a, b = map(_five_words, texts)
+        (near if len(a & b) >= 0.8 * len(a | b) else far).append(len(rows))
+        rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    # A large group: every one has a word of its own somewhere.
+    words, first = _words(rng, 300).split(), len(rows)
+    for i in range(first, first + 150):
+        own = list(words)
+        own[rng.randrange(300)] = _words(rng, 1)
+        rows.append((i, " ".join(own)))
+    assert len(near) > 25 and len(far) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in pipeline.keep_one_of_near_copies(spark, docs, SF).collect()}
+    assert kept == {*near, *far, *(i + 1 for i in far), first}
+
+
 def test_contaminated_documents_go(spark):
     rng = random.Random(9)
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
