@@ -65,6 +65,44 @@ def test_near_copies_leave_one(spark):
     assert kept == [g[0] for g in groups] + list(range(100, 130)) + [None, None]
 
 
+def _log_lines(n, rng):
+    names = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2500)]
+    days = "Mon Tue Wed Thu Fri Sat Sun".split()
+    for _ in range(n):
+        yield (
+            f"This message was sent by {rng.choice(names[:2000])} from the desk in "
+            f"{rng.choice(names[2000:])} on {rng.choice(days)} with kind regards to all"
+        )
+
+
+def test_a_template_is_one_at_every_size(spark):
+    for n in (200, 20_000):
+        rows = [(i, f"{line}\nown {i}") for i, line in enumerate(_log_lines(n, random.Random(n)))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        out = pipeline.drop_lines(spark, docs, SF)
+        assert [r.doc_id for r in out.where("text LIKE 'This%'").collect()] == [0]
+
+
+def test_passages_over_lines_need_two_documents(spark):
+    rng = random.Random(12)
+    passage = [_words(rng, n) for n in (20, 9, 12, 15, 8, 11)]
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120))
+    short = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40))
+    own = [[_words(rng, 12) for _ in range(3)] for _ in range(4)]
+    both = "\n".join([*passage[:3], "", *passage[3:]])
+    rows = [
+        (1, "\n".join([*own[0], both, own[0][0][::-1]])),
+        (2, "\n".join([*own[1], both, own[1][0][::-1]])),
+        (3, "\n".join([*own[2], *passage[:3], han, short])),  # 41 words: too short a run
+        (4, "\n".join([short, *own[3], han])),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pipeline.drop_lines(spark, docs, SF).collect()}
+    assert out[1] == rows[0][1]
+    assert out[2] == "\n".join([*own[1], "", own[1][0][::-1]])
+    assert han in out[3] and han not in out[4] and short in out[4]
+
+
 def _five_words(text):
     words = text.split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
