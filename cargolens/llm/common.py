@@ -14,6 +14,12 @@ from cargolens.session import shared_folder
 #: Rows a table may have to be sent to every executor; beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
+#: The 256 entries of the CRC-32 table, and the checksum of a text, as DuckDB SQL.
+CRC_TABLE_SQL = """
+  SELECT list_transform(range(256), lambda n: list_reduce(
+    [n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SLICE = 256
 
@@ -28,6 +34,17 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % F.lit(folds)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text beside a column ``t``, the table."""
+    size = f"octet_length(encode({text}))"
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT)"
+    return (
+        f"xor(list_reduce(list_transform(range(-1, {size}), "
+        f"lambda i: CASE WHEN i < 0 THEN 4294967295 ELSE {byte} END), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone.  ``lower`` does just that where every character is one byte."""
     plain = F.octet_length(text) == F.length(text)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import decontaminate, hpy, language, packing, pii, quality, sharding, simhash
-from cargolens.llm import templates, vectors
+from cargolens.llm import decontaminate, hpy, language, packing, pii, quality, resample
+from cargolens.llm import sharding, simhash, templates, vectors
 from cargolens.llm.common import fold, table
 
+
 def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
     return language.identify(docs, ["doc_id", held.alias("held_out")], ~held)
@@ -70,6 +71,11 @@ def kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, target)
+
+
 VECTOR_SQL = """
 WITH parts AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
@@ -159,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": best_fit_packing,
         "op9_pitman_yor_scores": pitman_yor_scores,
         "op10_kd_shards": kd_shards,
+        "op13_importance_resampling": importance_resampling,
     }
 
 
@@ -167,4 +174,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_vector_approximation": VECTOR_SQL,
         "op3_line_templates": TEMPLATE_SQL,
         "op5_benchmark_windows": decontaminate.SQL,
+        "op13_importance_resampling": resample.SQL,
     }
