@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import decontaminate, hpy, language, packing, pii, quality, resample
-from cargolens.llm import sharding, simhash, templates, vectors
+from cargolens.llm import decontaminate, dialogue, hpy, language, packing, pii, quality
+from cargolens.llm import resample, sharding, simhash, templates, vectors
 from cargolens.llm.common import fold, table
 
 
@@ -71,6 +71,11 @@ def kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return dialogue.digests(dialogue.repair(dialogue.damage(turns), turns))
+
+
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return resample.resample(docs, target)
@@ -165,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": best_fit_packing,
         "op9_pitman_yor_scores": pitman_yor_scores,
         "op10_kd_shards": kd_shards,
+        "op12_conversation_repair": conversation_repair,
         "op13_importance_resampling": importance_resampling,
     }
 
@@ -174,5 +180,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_vector_approximation": VECTOR_SQL,
         "op3_line_templates": TEMPLATE_SQL,
         "op5_benchmark_windows": decontaminate.SQL,
+        "op12_conversation_repair": dialogue.SQL,
         "op13_importance_resampling": resample.SQL,
     }
