@@ -20,6 +20,9 @@ CRC_TABLE_SQL = """
     [n, 0, 0, 0, 0, 0, 0, 0, 0],
     lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
 
+#: Bytes, as JSON, that ``bounded`` lets every executor have.
+BROADCAST_BYTES = 16 << 20
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SLICE = 256
 
@@ -71,6 +74,13 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast when its rows as JSON have no more bytes than that."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    total = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if total <= size else df
+
+
 def small_table(spark: SparkSession, columns: dict[str, list], schema: pa.Schema) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, schema=schema))
 

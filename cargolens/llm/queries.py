@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.llm import decontaminate, dialogue, hpy, language, packing, pii, quality
-from cargolens.llm import resample, sharding, simhash, templates, vectors
+from cargolens.llm import resample, sharding, simhash, templates, vectors, wrapper
 from cargolens.llm.common import fold, table
 
 
@@ -71,6 +71,10 @@ def kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return dialogue.digests(dialogue.repair(dialogue.damage(turns), turns))
@@ -170,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": best_fit_packing,
         "op9_pitman_yor_scores": pitman_yor_scores,
         "op10_kd_shards": kd_shards,
+        "op11_wrapper_induction": wrapper_induction,
         "op12_conversation_repair": conversation_repair,
         "op13_importance_resampling": importance_resampling,
     }
