@@ -451,7 +451,7 @@ def _wrappers(trees: DataFrame) -> DataFrame:
     size = F.struct(F.size("labels").alias("n"), "page_id", "hashes")
     tree = F.struct("labels", "depths", "hashes")
     return (
-        trees.where("host <> '' AND size(texts) > 0")
+        trees.where("host <> '' AND size(hashes) > 0")
         .groupBy("host", "layout")
         .agg(F.count(F.lit(1)).alias("n"), F.min_by(tree, size).alias("tree"))
         .where(F.col("n") >= MIN_PAGES)
@@ -465,10 +465,14 @@ def _wrappers(trees: DataFrame) -> DataFrame:
     )
 
 
-def _aligned(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """The pages with the slot of each block: the block of the wrapper it matches, or -1."""
-    joined = trees.join(wrappers, ["host", "layout"], "left")
-    kept = ["page_id", "url", "host", "layout", "zone", "hashes", "texts"]
+def _aligned(trees: DataFrame, wrappers: DataFrame, *others: str) -> DataFrame:
+    """(host, layout, hashes, slots) of the pages, and other columns of theirs.
+
+    The slot of a block is the block of the wrapper that it matches, or -1.
+    """
+    kept = ["host", "layout", "hashes", *others]
+    needed = dict.fromkeys([*kept, "labels", "depths"])
+    joined = trees.select(*needed).join(wrappers, ["host", "layout"], "left")
     schema = StructType(
         [*(trees.schema[c] for c in kept), StructField("slots", ArrayType(IntegerType()))]
     )
@@ -506,7 +510,7 @@ def _template(aligned: DataFrame) -> DataFrame:
     because it was copied.
     """
     of = ["host", "layout"]
-    pages = aligned.where("host <> '' AND size(texts) > 0").withColumn("page", F.xxhash64("hashes"))
+    pages = aligned.where("host <> '' AND size(hashes) > 0").withColumn("page", F.xxhash64("hashes"))
     total = pages.groupBy(*of, "page").agg(F.lit(1).alias("one")).groupBy(*of)
     total = total.agg(F.count(F.lit(1)).alias("n_pages"))
     placed = F.explode(F.arrays_zip("slots", "hashes")).alias("block")
@@ -542,9 +546,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     trees = stored(_trees(pages.select("page_id", "url", "html", host.alias("host"))), "page-trees")
     wrappers = bounded(stored(_wrappers(trees), "wrappers"))
-    aligned = stored(_aligned(trees, wrappers), "aligned-pages")
-    discard(trees)
-    template = bounded(stored(_template(aligned), "templates"))
+    # The texts are stored once: pages are aligned for the votes, and again for the result.
+    votes = stored(_aligned(trees, wrappers), "slots")
+    template = bounded(stored(_template(votes), "templates"))
+    discard(votes)
+    aligned = _aligned(trees, wrappers, "page_id", "url", "zone", "texts")
 
     blocks = F.arrays_zip("slots", "hashes", "texts")
     constant = F.coalesce("template", F.array().cast("array<struct<slots:int,hashes:long>>"))
