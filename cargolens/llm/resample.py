@@ -28,15 +28,21 @@ PIVOTS = 15
 
 def features(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space."""
-    runs = [words]
-    for n in range(2, longest + 1):
-        starts = F.when(
-            F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        ).otherwise(F.array().cast("array<int>"))
-        runs.append(
-            F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    if longest == 1:
+        return words
+
+    def of_length(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        made = F.transform(
+            starts, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
         )
-    return F.concat(*runs)
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        return F.concat(w, *[of_length(w, n) for n in range(2, longest + 1)])
+
+    # As a variable the words are made once a row, not once a run.
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def _bucket(feature: Column, buckets: int) -> Column:
