@@ -78,10 +78,15 @@ def network_indicators(strings: DataFrame) -> DataFrame:
     or an earlier string, in which case it is not reported again.
     """
     value = F.col("value")
-    texts = (
+    return matched_indicators(
         computed(strings, urls=url_matches(value), ips=ipv4_matches(value))
-        .select("artifact_id", "str_idx", "position", "urls", "ips")
-        .filter((F.size("urls") > 0) | (F.size("ips") > 0))
+    )
+
+
+def matched_indicators(texts: DataFrame) -> DataFrame:
+    """``network_indicators`` of (artifact_id, str_idx, position, urls, ips)."""
+    texts = texts.select("artifact_id", "str_idx", "position", "urls", "ips").filter(
+        (F.size("urls") > 0) | (F.size("ips") > 0)
     )
     kind = "struct<kind:string,key:string,raw:string,minor:bigint,in_url:boolean>"
     urls = F.transform(
@@ -163,6 +168,18 @@ def network_findings(
 
     ``escalate`` raises unknown domains from medium to high.
     """
+    return indicator_findings(
+        network_indicators(strings), artifacts, trusted_domains, escalate
+    )
+
+
+def indicator_findings(
+    indicators: DataFrame,
+    artifacts: DataFrame | None = None,
+    trusted_domains: tuple[str, ...] = fixed.TRUSTED_DOMAINS,
+    escalate: bool = False,
+) -> DataFrame:
+    """``network_findings`` of indicators that have been found."""
     key, host, scheme = F.col("key"), F.col("host"), F.col("scheme")
     trusted = trusted_domain(host, trusted_domains)
     code = (
@@ -180,9 +197,7 @@ def network_findings(
         .when(trusted, F.lit("MLS-NET-001"))
         .otherwise(F.lit("MLS-NET-002"))
     )
-    indicators = computed(
-        network_indicators(strings), host=url_host(key), scheme=scheme_class(key)
-    )
+    indicators = computed(indicators, host=url_host(key), scheme=scheme_class(key))
     found = with_artifacts(
         computed(indicators, code=code).filter("code is not null"), artifacts
     )

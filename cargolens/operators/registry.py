@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cargolens import fixed
 from cargolens.operators import (
@@ -20,6 +22,8 @@ from cargolens.operators import (
     network,
     secrets,
 )
+from cargolens.schema import FINDING_COLUMNS, FINDINGS
+from cargolens.session import computed, stored
 from cargolens.sources.policy import PRESETS, Policy
 
 Facts = Mapping[str, DataFrame]
@@ -52,6 +56,12 @@ def unregister(name: str) -> None:
     _DETECTORS.pop(name, None)
 
 
+#: The matches of all text detectors, made by a scan in one read of the strings.
+_TEXT = "text_matches"
+_CUSTOM = "custom_findings"
+#: Detectors, or facts, that are planned and run at the same time.
+_AT_ONCE = 4
+
 # Fact tables a detector needs; a detector without its tables is skipped.
 NEEDS = {
     "allowlist": ("globals", "contexts", "allowlist", "prefixes"),
@@ -136,7 +146,11 @@ def _keras(f: Facts, escalate_unverified: bool = False) -> DataFrame:
 @detector("network")
 def _network(f: Facts, escalate: bool = False) -> DataFrame:
     domains = f.get("trusted_domains", fixed.TRUSTED_DOMAINS)
-    return network.network_findings(f["strings"], f.get("artifacts"), domains, escalate)
+    if _TEXT in f:
+        indicators = network.matched_indicators(f[_TEXT])
+    else:
+        indicators = network.network_indicators(f["strings"])
+    return network.indicator_findings(indicators, f.get("artifacts"), domains, escalate)
 
 
 @detector("numpy_metadata")
@@ -154,9 +168,15 @@ def _parse_error(f: Facts) -> DataFrame:
 @detector("secrets")
 def _secrets(f: Facts) -> DataFrame:
     rules = f.get("secret_rules", secrets.SECRET_RULES)
-    return secrets.secret_findings(
-        f["strings"], f.get("metadata"), f.get("artifacts"), rules
-    )
+    if _TEXT not in f:
+        return secrets.secret_findings(
+            f["strings"], f.get("metadata"), f.get("artifacts"), rules
+        )
+    matches = secrets.spread_hits(f[_TEXT])
+    if "metadata" in f:
+        rules = secrets.rules_of(rules) if isinstance(rules, DataFrame) else rules
+        matches = matches.unionByName(secrets.secret_matches(None, f["metadata"], rules))
+    return secrets.match_findings(matches, f.get("artifacts"))
 
 
 def missing_tables(
@@ -170,28 +190,98 @@ def missing_tables(
     return {name: tables for name, tables in lacks.items() if tables}
 
 
-def detect(facts: Facts, policy: Policy = PRESETS["default"]) -> DataFrame:
-    """Union of all enabled detectors; one that lacks a fact table is left out with a warning."""
+def _enabled(facts: Facts, policy: Policy) -> list[str]:
+    """The detectors that run; one that lacks a fact table is left out with a warning."""
     lacks = missing_tables(facts, policy)
     for name, tables in lacks.items():
         warnings.warn(
-            f"detector {name} is left out, it needs: {', '.join(tables)}", stacklevel=2
+            f"detector {name} is left out, it needs: {', '.join(tables)}", stacklevel=3
         )
+    names = [name for name in policy.detectors(registered()) if name not in lacks]
+    if not names and "custom_findings" not in facts:
+        raise ValueError("no detector is enabled for the given fact tables")
+    return names
+
+
+def detect(facts: Facts, policy: Policy = PRESETS["default"]) -> DataFrame:
+    """Union of all enabled detectors, as one lazy plan."""
     parts = [
         _DETECTORS[name](facts, **policy.detector_options(name))
-        for name in policy.detectors(registered())
-        if name not in lacks
+        for name in _enabled(facts, policy)
     ]
     if "custom_findings" in facts:
         parts.append(algebra.custom_findings(facts["custom_findings"]))
-    if not parts:
-        raise ValueError("no detector is enabled for the given fact tables")
     return algebra.union_findings(*parts)
 
 
+def stage(facts: Facts, *names: str) -> dict[str, DataFrame]:
+    """The facts with the named tables written to the shared folder and read back.
+
+    For tables that are costly to derive: several detectors read them.  A table that stands
+    in files already gains nothing.
+    """
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        made = dict(zip(names, pool.map(lambda k: stored(facts[k], f"fact-{k}"), names)))
+    return {**facts, **made}
+
+
+def _text_matches(facts: Facts) -> DataFrame:
+    """URLs, addresses and secrets of all strings in one read of them; texts stay behind."""
+    rules = facts.get("secret_rules", secrets.SECRET_RULES)
+    if isinstance(rules, DataFrame):
+        rules = secrets.rules_of(rules)
+    value = F.col("value")
+    parts = computed(
+        facts["strings"].select("artifact_id", "str_idx", "position", "value"),
+        lowered=F.lower(value),
+        urls=network.url_matches(value),
+        ips=network.ipv4_matches(value),
+    )
+    kept = [F.col(c) for c in ("artifact_id", "str_idx", "position", "urls", "ips", "hits")]
+    found = secrets.with_hits(parts, rules).select(
+        *kept, F.lit("string").alias("origin"), F.lit("").alias("key")
+    )
+    return found.filter("size(urls) > 0 OR size(ips) > 0 OR size(hits) > 0")
+
+
+def _typed(found: DataFrame) -> DataFrame:
+    return found.select(*[F.col(c).cast(FINDINGS[c].dataType).alias(c) for c in FINDING_COLUMNS])
+
+
+def detect_stored(facts: Facts, policy: Policy = PRESETS["default"]) -> DataFrame:
+    """``detect`` with the findings of every detector written as they are found.
+
+    Each detector is a job of its own with a small plan, and the text detectors share one
+    read of the strings.  What comes back is one scan of the findings.
+    """
+    names = _enabled(facts, policy)
+    facts = dict(facts)
+    if {"network", "secrets"} <= set(names):
+        facts[_TEXT] = stored(_text_matches(facts), "text-matches")
+
+    def write(name: str) -> DataFrame:
+        if name == _CUSTOM:
+            found = algebra.custom_findings(facts[_CUSTOM])
+        else:
+            found = _DETECTORS[name](facts, **policy.detector_options(name))
+        return stored(_typed(found), f"findings-{name}")
+
+    # Small plans one after another would leave the executors idle while each is planned.
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        parts = list(pool.map(write, [*names, *([_CUSTOM] if _CUSTOM in facts else [])]))
+    paths = sorted({name.rsplit("/", 1)[0] for part in parts for name in part.inputFiles()})
+    if not paths:
+        return parts[0]
+    return parts[0].sparkSession.read.schema(FINDINGS).parquet(*paths)
+
+
 def scan(facts: Facts, policy: Policy = PRESETS["default"]) -> DataFrame:
-    """Detect, merge, annotate broken reads and mark findings below the threshold."""
-    found = algebra.dedupe(detect(facts, policy))
+    """Detect, merge, annotate broken reads and mark findings below the threshold.
+
+    Detectors and the merge run when this is called: their findings are written to the
+    shared folder.  The result reads the merged findings, and may be read often.
+    """
+    found = stored(algebra.dedupe(detect_stored(facts, policy)), "merged-findings")
     if all(t in facts for t in ("artifacts", "globals", "reduce_calls", "metadata")):
         found = algebra.annotate_truncated(
             found, facts["artifacts"], facts["globals"], facts["reduce_calls"],

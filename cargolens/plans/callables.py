@@ -408,10 +408,12 @@ def first_calls(spark, sf_dir):
     return ops.first_calls(Tables(spark, sf_dir).reduce_calls)
 
 
-_BLOCKLIST_SQL = f"""
+#: One row a callable, with the place it has in the report.
+BLOCKED_CALLABLES_SQL = f"""
     SELECT artifact_id, path, 'MLS-PKL-001' AS code, severity, {LEVEL_SQL} AS severity_level,
            'certain' AS confidence,
-           CASE WHEN position IS NULL THEN path ELSE concat(path, ':offset ', position) END AS location
+           CASE WHEN position IS NULL THEN path ELSE concat(path, ':offset ', position) END AS location,
+           concat(module, chr(1), name) AS label
     FROM (
       SELECT g.*, c.position, a.path,
              CASE WHEN (canonical, g.name) IN (SELECT * FROM (VALUES {pairs_sql(fixed.DANGEROUS_CALLABLE_HIGH)}) h)
@@ -424,6 +426,7 @@ _BLOCKLIST_SQL = f"""
       WHERE NOT (canonical = 'builtins' AND g.name = 'getattr'
                  AND g.artifact_id IN ({HARMLESS_SQL}))) f
 """
+_BLOCKLIST_SQL = f"SELECT * EXCLUDE (label) FROM ({BLOCKED_CALLABLES_SQL}) l"
 _HOMOGLYPH_SQL = f"""
     SELECT artifact_id, path, 'MLS-PKL-002' AS code, 'high' AS severity, 3 AS severity_level,
            'high' AS confidence, path AS location

@@ -339,24 +339,11 @@ def symbol_findings(spark, sf_dir):
 # --- parse errors --------------------------------------------------------------------------------------
 
 _SIGNAL_SQL = f"""
-    SELECT artifact_id FROM $globals WHERE module = 'evil.pkg'
-    UNION SELECT artifact_id FROM $reduce_calls WHERE module = 'numpy'
-    UNION SELECT artifact_id FROM $embedded WHERE at_byte < 100
-    UNION SELECT artifact_id FROM $metadata WHERE key IN {in_list(fixed.HANDLED_FLAGS)} AND value <> ''
+    SELECT artifact_id FROM $globals UNION SELECT artifact_id FROM $reduce_calls
+    UNION SELECT artifact_id FROM $embedded UNION SELECT artifact_id FROM $metadata WHERE key IN {in_list(fixed.HANDLED_FLAGS)} AND value <> ''
 """
 
 
-def _thin(t):
-    """Only some kinds of facts, so that some failed artifacts stay without any signal."""
-    return {
-        "artifacts": t.artifacts,
-        "globals": t.globals_.filter("module = 'evil.pkg'"),
-        "reduce_calls": t.reduce_calls.filter("module = 'numpy'"),
-        "embedded": t.embedded.filter("offset < 100"),
-        "metadata": t.metadata,
-    }
-
-
 @query(
     "parse_error_findings",
     f"""
@@ -368,10 +355,10 @@ def _thin(t):
 def parse_error_findings(spark, sf_dir):
     from cargolens.plans.base import flat
 
-    f = _thin(Tables(spark, sf_dir))
+    t = Tables(spark, sf_dir)
     return flat(
         ops.parse_error_findings(
-            f["artifacts"], f["globals"], f["reduce_calls"], f["embedded"], f["metadata"]
+            t.artifacts, t.globals_, t.reduce_calls, t.embedded, t.metadata
         )
     )
 
@@ -385,8 +372,8 @@ def parse_error_findings(spark, sf_dir):
     FROM (SELECT DISTINCT artifact_id, at_byte FROM $embedded) e
     LEFT JOIN (SELECT artifact_id, error FROM $artifacts
                WHERE error IS NOT NULL
-                 AND artifact_id IN (SELECT artifact_id FROM $globals WHERE module = 'evil.pkg'
-                                     UNION SELECT artifact_id FROM $reduce_calls WHERE module = 'numpy')
+                 AND artifact_id IN (SELECT artifact_id FROM $globals
+                                     UNION SELECT artifact_id FROM $reduce_calls)
                  AND artifact_id NOT IN (SELECT artifact_id FROM $metadata
                                          WHERE key = 'joblib_decompression_bomb' AND value <> '')) a
       USING (artifact_id)
@@ -396,10 +383,9 @@ def truncation_notes(spark, sf_dir):
     from cargolens.operators.binaries import executable_findings
 
     t = Tables(spark, sf_dir)
-    f = _thin(t)
     found = executable_findings(t.embedded)
     noted = ops.annotate_truncated(
-        found, f["artifacts"], f["globals"], f["reduce_calls"], f["metadata"]
+        found, t.artifacts, t.globals_, t.reduce_calls, t.metadata
     )
     d = F.col("details")
     return noted.select(

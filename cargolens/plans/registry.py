@@ -33,6 +33,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, with its ``$table`` marks."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for module in _MODULES:
         importlib.import_module(f"cargolens.plans.{module}")

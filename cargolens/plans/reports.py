@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cargolens import fixed
 from cargolens.operators import registry
 from cargolens.operators.callables import framework_vote
 from cargolens.operators.findings import dedupe
-from cargolens.plans import callables
-from cargolens.plans.base import Tables
+from cargolens.plans import callables, text
+from cargolens.plans.base import Tables, confidence_sql, label_sql
 from cargolens.plans.compliance import CODE_MAP_SQL
 from cargolens.plans.findings import DEDUPED_SQL, FOUND_SQL, below_sql
-from cargolens.plans.registry import query
+from cargolens.plans.registry import query, sql_of
 from cargolens.sinks import sarif, sbom
 from cargolens.sinks.audit import audit_record as run_record
 from cargolens.sinks.index import with_index
 from cargolens.sinks.json_report import artifact_lines, finding_lines, run_line
-from cargolens.sources.policy import PRESETS
+from cargolens.sources.policy import PRESETS, Policy
 
 
 def json_fields(lines, **paths):
@@ -227,40 +228,123 @@ def audit_record(spark, sf_dir):
 # --- a whole scan ------------------------------------------------------------------------------------
 
 
+#: The banking rules, but for unknown domains, which stay medium.
+_SCAN_POLICY = Policy.from_mapping(
+    {
+        "severity_threshold": "low",
+        "extra_rules": {**PRESETS["banking"].extra_rules, "no_external_urls": False},
+    }
+)
+
+
 def all_facts(spark, t: Tables) -> dict:
-    """Every fact table a scan can use."""
+    """Every fact table a scan can use, each derived once and stored."""
     from cargolens.operators.formats import format_facts
-    from cargolens.plans import bundles
+    from cargolens.plans import bundles, metadata
 
-    return {
+    derived = {
         "artifacts": t.artifacts,
         "strings": t.strings,
         "globals": t.globals_,
         "opcodes": t.opcodes,
         "reduce_calls": t.reduce_calls,
-        "metadata": t.metadata,
+        "metadata": metadata.with_object_flags(t),
         "embedded": t.embedded,
         "members": t.members,
-        "contexts": framework_vote(t.globals_),
-        "allowlist": callables.allowlist(spark),
-        "prefixes": callables.prefixes(spark),
-        "patterns": callables.patterns(spark),
-        "format_facts": format_facts(t.artifacts, t.metadata),
         "bundle_files": t.bundle_files,
         "bundle_refs": t.bundle_refs,
         "py_names": t.py_names,
         "py_obfuscations": t.py_obfuscations,
+    }
+    facts = registry.stage(derived, *derived)
+    return facts | {
+        "contexts": framework_vote(facts["globals"]),
+        "allowlist": callables.allowlist(spark),
+        "prefixes": callables.prefixes(spark),
+        "patterns": callables.patterns(spark),
+        "format_facts": format_facts(facts["artifacts"], facts["metadata"]),
         "bundle_patterns": bundles.patterns(spark),
+        "trusted_domains": text.TRUSTED,
+        "secret_rules": text.CORPUS_RULES,
+    }
+
+
+def _scan_sql() -> str:
+    """The SQL of every detector's query, united, merged and annotated."""
+    queries = {
+        "allowlist": "allowlist_findings",
+        "blocklist": "blocklist_findings",
+        "bundle_code": "bundle_findings",
+        "compression": "compression_findings",
+        "cve": "pattern_findings",
+        "executable": "executable_findings",
+        "format_policy": "format_findings",
+        "gguf_metadata": "kv_findings",
+        "joblib_metadata": "joblib_findings",
+        "keras": "keras_findings",
+        "network": "network_findings",
+        "numpy_metadata": "numpy_findings",
+        "parse_error": "parse_error_findings",
+        "secrets": "secret_findings",
+    }
+    # Where findings of one detector can share a code or a rank and a location, their order.
+    ordered = {
+        "blocklist": f"""
+            SELECT *, 1 AS major, 0 AS minor FROM ({callables.BLOCKED_CALLABLES_SQL}) b
+            UNION ALL SELECT *, '' AS label, 0, 0 FROM ({sql_of('blocklist_findings')}) c
+            WHERE code <> 'MLS-PKL-001'""",
+        "bundle_code": f"""
+            SELECT *, '' AS label, 0 AS major,
+                   CASE severity WHEN 'high' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS minor
+            FROM ({sql_of('bundle_findings')}) b""",
+        "network": f"""
+            SELECT *, '' AS label, str_idx AS major FROM (
+              {text.network_findings_sql('SELECT * FROM $strings', text.TRUSTED, '$artifacts', False)}) n""",
     }
+    parts = []
+    for i, (name, q) in enumerate(queries.items()):
+        plain = f"SELECT *, '' AS label, 0 AS major, 0 AS minor FROM ({sql_of(q)}) p"
+        plain = plain.replace("$archives", "$artifacts")
+        parts.append(
+            f"SELECT {fixed.DETECTORS.index(name)} AS det, major, minor, label, artifact_id, path, code, "
+            f"severity, confidence, location FROM ({ordered.get(name, plain)}) q{i}"
+        )
+    rated = FOUND_SQL.replace("$findings", f"({' UNION ALL '.join(parts)}) parts")
+    return f"""
+    WITH rated AS MATERIALIZED ({rated}),
+    firsts AS (
+      SELECT *, count(*) OVER spot AS n, max(severity_level) OVER spot AS level,
+             max(confidence_rank) OVER spot AS top_rank,
+             row_number() OVER (PARTITION BY artifact_id, location ORDER BY code_rank DESC, det, major, minor, label, code) AS pick
+      FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id, code, location
+                                         ORDER BY det, major, minor, label) AS rn
+            FROM rated) r
+      WHERE rn = 1 WINDOW spot AS (PARTITION BY artifact_id, location)),
+    merged AS (
+      SELECT artifact_id, path, code, location, severity_level, confidence FROM firsts
+      WHERE NOT (anchored AND n > 1)
+      UNION ALL
+      SELECT artifact_id, path, code, location, level, {confidence_sql('top_rank')} FROM firsts
+      WHERE anchored AND n > 1 AND pick = 1),
+    broken AS (
+      SELECT artifact_id FROM $artifacts WHERE error IS NOT NULL
+        AND artifact_id IN (SELECT artifact_id FROM $globals UNION SELECT artifact_id FROM $reduce_calls)
+        AND artifact_id NOT IN (SELECT artifact_id FROM $metadata
+                                WHERE key = 'joblib_decompression_bomb' AND value <> '')
+        AND artifact_id NOT IN (SELECT artifact_id FROM merged WHERE code = 'MLS-PARSE-001'))
+    SELECT m.artifact_id, path, code, location, {label_sql('severity_level')} AS severity, confidence,
+           b.artifact_id IS NOT NULL AS truncated, {below_sql('low')} AS below_threshold
+    FROM merged m LEFT JOIN broken b USING (artifact_id)
+    """
 
 
-@query("full_scan")
+@query("full_scan", _scan_sql())
 def full_scan(spark, sf_dir):
-    """All detectors over all fact tables, merged and graded under the banking policy."""
-    t = Tables(spark, sf_dir)
-    found = registry.scan(all_facts(spark, t), PRESETS["banking"])
-    return found.groupBy("detector", "code", "severity").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("below_threshold").alias("below")
+    """All detectors over all fact tables, merged, annotated and graded."""
+    found = registry.scan(all_facts(spark, Tables(spark, sf_dir)), _SCAN_POLICY)
+    return found.select(
+        "artifact_id", "path", "code", "location", "severity", "confidence",
+        F.col("details")["parse_truncated"].isNotNull().alias("truncated"), "below_threshold",
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
@@ -34,6 +35,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a step as Parquet below the shared folder and reads it back.
+
+    Cuts the lineage and keeps columns and statistics, so later reads are pruned; each call
+    takes a new folder.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/steps/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rule_table(spark: SparkSession, rows: Iterable[Mapping], schema: pa.Schema) -> DataFrame:
     """A rule pack as a DataFrame.
 
