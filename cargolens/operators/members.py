@@ -13,62 +13,57 @@ from cargolens.functions.text import (
     is_unsafe_member_name,
 )
 from cargolens.operators.findings import emit, union_findings
-from cargolens.session import checkpoint
+from cargolens.operators.trees import below_marked
+from cargolens.session import stored
 
 _BUCKET = 1 << 16  # member_idx values per bucket of a running total
-_LEVELS_PER_CHECKPOINT = 3
 
 
 # --- totals over the member tree -----------------------------------------------------------
 
 
-def visible_members(members: DataFrame) -> DataFrame:
-    """Members with a flag that tells whether an ancestor's explicit total hides them.
+def _tree(members: DataFrame) -> DataFrame:
+    """The member tree, read once: a mark on what hides the members below it."""
+    total = F.col("total_uncompressed_bytes")
+    return stored(
+        members.select(
+            "artifact_id",
+            "member_id",
+            "parent_id",
+            total.isNotNull().alias("marked"),
+            (F.col("file_size") + F.coalesce(total, F.lit(0))).alias("added"),
+        ),
+        "member-tree",
+    )
 
-    Walks the tree one level at a time from the top.  A level joins only the hiding
-    members of the level above, so archives without explicit totals add next to nothing.
-    Every few levels the hiding members are checkpointed, so the plan of a deep tree does
-    not grow with the square of its depth.
-    """
-    deepest = members.agg(F.max("depth")).first()[0] or 0
+
+def visible_members(members: DataFrame) -> DataFrame:
+    """Members with a flag that tells whether an ancestor's explicit total hides them."""
+    hidden = below_marked(_tree(members)).select(
+        "artifact_id", "member_id", F.lit(True).alias("hidden")
+    )
     cols = ["artifact_id", "member_id", "parent_id", "file_size",
             "total_uncompressed_bytes", "depth"]
-    out, hiding = None, None
-    for level in range(1, deepest + 1):
-        rows = members.filter(F.col("depth") == level).select(*cols)
-        if hiding is None:
-            rows = rows.withColumn("hidden", F.lit(False))
-        else:
-            rows = rows.join(hiding, ["artifact_id", "parent_id"], "left").withColumn(
-                "hidden", F.coalesce("hidden", F.lit(False))
-            )
-        out = rows.select(*cols, "hidden") if out is None else out.unionByName(
-            rows.select(*cols, "hidden")
-        )
-        hiding = rows.filter(
-            F.col("hidden") | F.col("total_uncompressed_bytes").isNotNull()
-        ).select(
-            "artifact_id", F.col("member_id").alias("parent_id"), F.lit(True).alias("hidden")
-        )
-        if level % _LEVELS_PER_CHECKPOINT == 0 and level < deepest:
-            hiding = checkpoint(hiding)
-    if out is None:
-        out = members.select(*cols).withColumn("hidden", F.lit(False))
-    return out
+    return members.select(*cols).join(
+        hidden, ["artifact_id", "member_id"], "left"
+    ).withColumn("hidden", F.coalesce("hidden", F.lit(False))).select(*cols, "hidden")
 
 
 def member_totals(members: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """(artifact_id, n_members, unpacked): all members are counted; a visible member adds
     its own size and, when it has one, its explicit total in place of what is below it.
 
+    What hidden members would add is taken off per archive: no member is joined again.
     ``explicit`` (artifact_id, total_uncompressed_bytes) replaces the sum of an artifact.
     """
-    added = F.col("file_size") + F.coalesce("total_uncompressed_bytes", F.lit(0))
-    totals = visible_members(members).groupBy("artifact_id").agg(
-        F.count(F.lit(1)).alias("n_members"),
-        F.coalesce(F.sum(F.when(~F.col("hidden"), added)), F.lit(0))
-        .cast("bigint")
-        .alias("unpacked"),
+    tree = _tree(members)
+    one, no = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    parts = tree.select("artifact_id", one.alias("n"), "added").unionByName(
+        below_marked(tree).select("artifact_id", no.alias("n"), (-F.col("added")).alias("added"))
+    )
+    totals = parts.groupBy("artifact_id").agg(
+        F.sum("n").alias("n_members"),
+        F.coalesce(F.sum("added"), F.lit(0)).cast("bigint").alias("unpacked"),
     )
     if explicit is None:
         return totals

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cargolens import fixed
 from cargolens.functions.text import is_object_dtype
 from cargolens.operators.findings import emit
+from cargolens.operators.trees import below_marked
+from cargolens.session import stored
 
 
 def _facts(metadata: DataFrame, artifacts: DataFrame, scanner: str, keys: tuple) -> DataFrame:
@@ -179,26 +181,13 @@ def _object_arrays(metadata: DataFrame) -> DataFrame:
 
 
 def _numpy_all_the_way(found: DataFrame, members: DataFrame) -> DataFrame:
-    """Keep members whose ancestors were all read by numpy.
-
-    Climbs from the few members that were found, one level per join, instead of walking
-    the whole tree from the top.
-    """
-    deepest = members.agg(F.max("depth")).first()[0] or 1
-    parents = members.filter(F.col("scanner") == "numpy").select(
-        "artifact_id", F.col("member_id").alias("cursor"), F.col("parent_id").alias("above")
-    )
-    climbing = found.withColumn("cursor", F.col("parent_id"))
-    for _ in range(deepest - 1):
-        climbing = (
-            climbing.join(
-                parents.withColumn("known", F.lit(True)), ["artifact_id", "cursor"], "left"
-            )
-            .filter(F.col("cursor").isNull() | F.col("known"))
-            .withColumn("cursor", F.col("above"))
-            .drop("above", "known")
-        )
-    return climbing.filter(F.col("cursor").isNull()).drop("cursor")
+    """Keep members whose ancestors are all there and were all read by numpy."""
+    other = ~F.coalesce(F.col("scanner") == "numpy", F.lit(False))
+    within = found.select("artifact_id").distinct()
+    tree = members.select("artifact_id", "member_id", "parent_id", other.alias("marked"))
+    tree = stored(tree.join(within, "artifact_id", "left_semi"), "numpy-tree")
+    broken = below_marked(tree, dangling=True).select("artifact_id", "member_id")
+    return found.join(broken, ["artifact_id", "member_id"], "left_anti")
 
 
 def numpy_findings(

@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 from cargolens import fixed, schema
 from cargolens.functions.text import is_unsafe_member_name
-from cargolens.operators import binaries, bundle, callables, formats, keras, kv, members, metadata
+from cargolens.operators import (
+    binaries,
+    bundle,
+    callables,
+    formats,
+    keras,
+    kv,
+    members,
+    metadata,
+    trees,
+)
 
 ARTIFACT = "artifact_id string, path string, length bigint, scanner string, error string"
 
@@ -163,6 +173,37 @@ def test_deep_tree_with_explicit_totals_against_a_loop(table):
     assert (row["n_members"], row["unpacked"]) == (400, expected)
 
 
+def _chain(table, depth, explicit_at=()):
+    return _archive(table, [
+        (None if i == 0 else f"m{i - 1}", 1, 7 if i in explicit_at else None, i + 1)
+        for i in range(depth)
+    ])
+
+
+def test_a_chain_of_a_thousand_members(table):
+    seen = members.visible_members(_chain(table, 1000, {300, 640})).collect()
+    assert {int(r["member_id"][1:]) for r in seen if r["hidden"]} == set(range(301, 1000))
+    row = members.member_totals(_chain(table, 1000, {300, 640})).first()
+    assert (row["n_members"], row["unpacked"]) == (1000, 301 + 7)
+    row = members.member_totals(_chain(table, 1000)).first()
+    assert (row["n_members"], row["unpacked"]) == (1000, 1000)
+
+
+def test_broken_trees_end(table):
+    nodes = table(
+        [("a", m, p, x) for m, p, x in (
+            ("top", None, True), ("u", "v", False), ("v", "u", False), ("w", "w", False),
+            ("lost", "gone", False), ("low", "lost", False), ("in", "top", False),
+            ("in", "top", False), ("under", "in", False), ("round", "u", False),
+        )] + [("b", "x", None, False), ("b", "y", "x", False)],
+        "artifact_id string, member_id string, parent_id string, marked boolean",
+    )
+    got = sorted(r["member_id"] for r in trees.below_marked(nodes).collect())
+    assert got == ["in", "in", "under"]
+    got = sorted(r["member_id"] for r in trees.below_marked(nodes, dangling=True).collect())
+    assert got == ["in", "in", "lost", "low", "under"]
+
+
 def test_running_size_and_budget_across_buckets(table, monkeypatch):
     monkeypatch.setattr(members, "_BUCKET", 8)
     rng = random.Random(5)
