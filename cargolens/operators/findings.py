@@ -401,6 +401,46 @@ def gate(findings: DataFrame, artifacts: DataFrame, fail_on: str | None) -> Data
     )
 
 
+def gates(
+    findings: DataFrame,
+    artifacts: DataFrame,
+    fail_on: Mapping[str, str | None],
+    by: Sequence[str] = ("artifact_id",),
+) -> DataFrame:
+    """Exit codes of several policies, ``fail_on`` by their names, for every group.
+
+    One aggregate finds the worst finding and the failures of a group, which all policies
+    then read.
+    """
+    signals = findings.select(*by, F.lit(False).alias("failed"), "severity_level").unionByName(
+        artifacts.select(
+            *by,
+            F.col("error").isNotNull().alias("failed"),
+            F.lit(None).cast("int").alias("severity_level"),
+        )
+    )
+    limits = [
+        F.struct(
+            F.lit(name).alias("policy"),
+            F.lit(
+                fixed.SEVERITIES.index(level if level in fixed.SEVERITIES else "critical")
+            ).alias("limit"),
+        )
+        for name, level in fail_on.items()
+    ]
+    worst = signals.groupBy(*by).agg(
+        F.bool_or("failed").alias("failed"), F.max("severity_level").alias("worst")
+    )
+    return worst.select(*by, "failed", "worst", F.inline(F.array(*limits))).select(
+        *by,
+        "policy",
+        F.when(F.col("failed"), 2)
+        .when(F.col("worst") >= F.col("limit"), 1)
+        .otherwise(0)
+        .alias("exit_code"),
+    )
+
+
 def by_severity(findings: DataFrame, keep_empty: bool = True) -> DataFrame:
     """Findings and artifacts per severity, highest first; empty groups on request.
 

@@ -253,6 +253,16 @@ FACTS: dict[str, str] = {
                           ELSE concat('u', {text('user_id')}) END AS artifact_id
               FROM $events) e
     """,
+    # the artifacts of the findings, and clean ones
+    "scanned": f"""
+        SELECT artifact_id, concat('store/', artifact_id, '.pkl') AS path, '.pkl' AS ext,
+               1000 + k * 37 % 3000000 AS length, {pick('k', _SCANNERS)} AS scanner,
+               CASE WHEN k % 11 = 3 THEN concat('stopped at byte ', {text('k')}) END AS error,
+               md5(artifact_id) AS md5
+        FROM (SELECT artifact_id, min(event_id) AS k FROM $findings GROUP BY artifact_id
+              UNION ALL
+              SELECT concat('clean', {text('c_custkey')}), c_custkey FROM $customer) s
+    """,
     "bundle_refs": f"""
         SELECT DISTINCT concat('b', {text('o_custkey')}) AS bundle_id,
                {pick('o_orderkey', ('auto_map.AutoModel', 'auto_map.AutoConfig', 'custom_pipeline'))} AS field,

@@ -19,6 +19,8 @@ from cargolens.plans.base import (
 )
 from cargolens.plans.facts import quoted
 from cargolens.plans.registry import query
+from cargolens.session import stored
+from cargolens.sinks.index import with_place
 from cargolens.sources.policy import PRESETS, Policy, unknown_policy_keys
 
 FOUND_SQL = f"""
@@ -124,43 +126,38 @@ def deduped_findings(spark, sf_dir):
     f"""SELECT artifact_id, location, code, message FROM ({MERGED_SQL}) m""",
 )
 def merge_templates(spark, sf_dir):
-    """The finding that gives its text to each merged group."""
-    first = ops.first_by_location(Tables(spark, sf_dir).event_findings()).filter(
-        has_position_anchor(F.col("location"))
-    )
-    template = F.min_by(
-        F.struct("code", "message"), F.struct(-code_rank(F.col("code")), F.col("ordinal"))
-    )
-    return (
-        first.groupBy("artifact_id", "location")
-        .agg(template.alias("t"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("artifact_id", "location", "t.code", "t.message")
-    )
+    """The merged findings: the most specific one of each group gives its text."""
+    first = stored(ops.first_by_location(Tables(spark, sf_dir).event_findings()), "first")
+    groups = first.groupBy("artifact_id", "location").agg(F.count(F.lit(1)).alias("n"))
+    merged = ops.merge_by_location(first).filter(has_position_anchor(F.col("location")))
+    return merged.join(
+        groups.filter("n > 1"), ["artifact_id", "location"], "left_semi"
+    ).select("artifact_id", "location", "code", "message")
 
 
 @query(
     "report_order",
     f"""
     SELECT artifact_id, code, location,
-           row_number() OVER (PARTITION BY artifact_id
-                              ORDER BY severity_level DESC, group_det, group_event, det, event_id) AS place
-    FROM (SELECT *, first_value(det) OVER w AS group_det, first_value(event_id) OVER w AS group_event
-          FROM ({FIRST_SQL}) f WHERE NOT anchored
-          WINDOW w AS (PARTITION BY artifact_id, location ORDER BY det, event_id)) o
+           row_number() OVER (
+             PARTITION BY artifact_id
+             ORDER BY CASE WHEN anchored AND n > 1 THEN level ELSE severity_level END DESC,
+                      group_det, group_event, det, event_id) AS place
+    FROM (SELECT *, first_value(det) OVER spot AS group_det, first_value(event_id) OVER spot AS group_event,
+                 count(*) OVER whole AS n, max(severity_level) OVER whole AS level,
+                 row_number() OVER (whole ORDER BY code_rank DESC, det, event_id) AS pick
+          FROM ({FIRST_SQL}) f
+          WINDOW spot AS (PARTITION BY artifact_id, location ORDER BY det, event_id),
+                 whole AS (PARTITION BY artifact_id, location)) o
+    WHERE pick = 1 OR NOT (anchored AND n > 1)
     """,
 )
 def report_order(spark, sf_dir):
-    """Place of every unanchored finding in the report of its artifact."""
-    from pyspark.sql import Window
-
-    found = ops.dedupe(
-        Tables(spark, sf_dir).event_findings().filter(~has_position_anchor(F.col("location")))
-    )
-    order = Window.partitionBy("artifact_id").orderBy(F.col("severity_level").desc(), "ordinal")
-    return ops.report_order(found).select(
-        "artifact_id", "code", "location",
-        F.row_number().over(order).cast("bigint").alias("place"),
+    """Place of every finding in the report of its artifact."""
+    found = ops.dedupe(Tables(spark, sf_dir).event_findings())
+    order = [F.col("severity_level").desc(), "ordinal"]
+    return with_place(found, "artifact_id", order).select(
+        "artifact_id", "code", "location", "place"
     )
 
 
@@ -265,31 +262,26 @@ def worst_severity(spark, sf_dir):
     return ops.worst_severity(Tables(spark, sf_dir).event_findings(), by=("artifact_id",))
 
 
+_LIMITS_SQL = ", ".join(
+    f"('{name}', {fixed.SEVERITIES.index(p.fail_on_severity)})" for name, p in PRESETS.items()
+)
+
+
 @query(
     "policy_gates",
-    " UNION ALL ".join(
-        f"""SELECT '{name}' AS policy, '{kind}' AS artifacts, (CASE
-              WHEN {'(SELECT bool_or(error IS NOT NULL) FROM $artifacts)' if kind == 'all' else 'FALSE'} THEN 2
-              WHEN (SELECT bool_or(severity_level >= {fixed.SEVERITIES.index(p.fail_on_severity)})
-                    FROM ({FOUND_SQL}) f WHERE severity <> 'critical') THEN 1 ELSE 0 END)::INTEGER AS exit_code"""
-        for name, p in PRESETS.items()
-        for kind in ("all", "readable")
-    ),
+    f"""
+    SELECT artifact_id, policy,
+           (CASE WHEN error IS NOT NULL THEN 2 WHEN worst >= lim THEN 1 ELSE 0 END)::INTEGER AS exit_code
+    FROM $scanned
+    LEFT JOIN (SELECT artifact_id, max(severity_level) AS worst FROM ({FOUND_SQL}) f GROUP BY 1) w
+      USING (artifact_id), (VALUES {_LIMITS_SQL}) v(policy, lim)
+    """,
 )
 def policy_gates(spark, sf_dir):
-    """Exit codes of the four presets, with and without failed artifacts."""
+    """The exit code of every artifact under each of the four presets."""
     t = Tables(spark, sf_dir)
-    found = t.event_findings().filter("severity <> 'critical'")
-    out = None
-    for name, policy in PRESETS.items():
-        for kind, artifacts in (
-            ("all", t.artifacts), ("readable", t.artifacts.filter("error is null"))
-        ):
-            row = ops.gate(found, artifacts, policy.fail_on_severity).select(
-                F.lit(name).alias("policy"), F.lit(kind).alias("artifacts"), "exit_code"
-            )
-            out = row if out is None else out.unionByName(row)
-    return out
+    limits = {name: policy.fail_on_severity for name, policy in PRESETS.items()}
+    return ops.gates(t.event_findings(), t.scanned, limits)
 
 
 @query(

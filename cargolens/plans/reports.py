@@ -43,20 +43,26 @@ def json_findings(spark, sf_dir):
     )
 
 
+# The callables of order n stand for those of user n, whose artifact has findings.
+_USER_CONTEXTS_SQL = callables.CONTEXTS_SQL.replace(
+    "$globals", "(SELECT concat('u', substr(artifact_id, 2)) AS artifact_id, module, name FROM $globals)"
+)
+
+
 @query(
     "json_artifacts",
     f"""
     SELECT a.artifact_id, a.scanner, a.error, coalesce(n, 0)::VARCHAR AS n_findings, framework
-    FROM $artifacts a
+    FROM $scanned a
     LEFT JOIN (SELECT artifact_id, count(*) AS n FROM $findings GROUP BY 1) f USING (artifact_id)
-    LEFT JOIN ({callables.CONTEXTS_SQL}) c USING (artifact_id)
+    LEFT JOIN ({_USER_CONTEXTS_SQL}) c USING (artifact_id)
     """,
 )
 def json_artifacts(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    lines = artifact_lines(
-        t.artifacts, t.event_findings(), framework_vote(t.globals_)
-    )
+    user = F.concat(F.lit("u"), F.substring("artifact_id", 2, 20))
+    used = t.globals_.withColumn("artifact_id", user)
+    lines = artifact_lines(t.scanned, t.event_findings(), framework_vote(used))
     return json_fields(
         lines, artifact_id="$.artifact_id", scanner="$.scanner", error="$.error",
         n_findings="$.n_findings", framework="$.ml_context.framework",
@@ -180,14 +186,16 @@ _VULNS_SQL = f"""
            CASE WHEN ref_type = 'cwe' THEN replace(ref_id, 'CWE-', '') END AS cwe,
            CASE WHEN ref_type NOT IN ('cwe', 'cve') THEN concat(upper(ref_type), ': ', ref_id) END AS advisory,
            CASE WHEN {below_sql('medium')} THEN 'in_triage' END AS state,
-           'unknown' AS component
+           ref AS component
     FROM ({_VULNS_SQL}) v
+    JOIN (SELECT concat('component-', row_number() OVER (ORDER BY path, artifact_id) - 1) AS ref, artifact_id
+          FROM $scanned) c USING (artifact_id)
     """,
 )
 def sbom_vulnerabilities(spark, sf_dir):
     t = Tables(spark, sf_dir)
     vulns = sbom.vulnerabilities(
-        t.event_findings(), sbom.components(t.artifacts), "medium"
+        t.event_findings(), sbom.components(t.scanned), "medium"
     )
     return json_fields(
         sbom.vulnerability_lines(vulns), ref="$.bom-ref", id="$.id", score="$.ratings[0].score",

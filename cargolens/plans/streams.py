@@ -65,15 +65,15 @@ def stream_scan(spark, sf_dir):
         FROM $events""",
 )
 def stream_dedup(spark, sf_dir):
-    """One finding per key; the delay covers the whole table, so none comes twice."""
+    """One finding per key, over all batches and without state."""
     events = _stream(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("u"), "user_id").alias("artifact_id"),
         _event_severity().alias("code"),
         F.col("props").alias("location"),
     )
-    out = _run(spark, streaming.stream_dedup(events, "ts", "400 days"), "dedup")
-    return out.select("artifact_id", "code", "location")
+    base = f"{shared_folder(spark)}/streams/dedup-{uuid.uuid4().hex}"
+    streaming.key_batches(events, f"{base}/out", f"{base}/state").awaitTermination()
+    return streaming.distinct_result(spark, f"{base}/out")
 
 
 @query(
@@ -81,17 +81,17 @@ def stream_dedup(spark, sf_dir):
     f"""
     SELECT window_start, severity, count(*) AS n_findings
     FROM (SELECT date_trunc('hour', ts) AS window_start, {_SEVERITY_SQL} AS severity FROM $events) e
-    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM $events)
     GROUP BY 1, 2
     """,
 )
 def stream_counts(spark, sf_dir):
-    """Findings per hour and severity; only windows the watermark has passed are final."""
+    """Findings per hour and severity, of every event."""
     events = _stream(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), _event_severity().alias("severity")
     )
-    out = _run(spark, streaming.stream_counts(events, "ts"), "counts")
-    return out.select(
+    base = f"{shared_folder(spark)}/streams/counts-{uuid.uuid4().hex}"
+    streaming.count_batches(events, f"{base}/out", f"{base}/state", "ts").awaitTermination()
+    return streaming.counted_result(spark, f"{base}/out").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "severity", "n_findings"
     )
 

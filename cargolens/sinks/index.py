@@ -10,6 +10,23 @@ from cargolens.session import checkpoint
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
 
 
+def with_place(
+    df: DataFrame, group: str, order: list[Column | str], name: str = "place"
+) -> DataFrame:
+    """Number the rows of every group 1, 2, 3, … in the given order, unique in a group.
+
+    A group that holds a third of all rows spreads over many partitions: the whole table is
+    numbered by ranges, and a group's first number, one row each, is taken off.
+    """
+    numbered = with_index(df, [group, *order], "_index")
+    first = numbered.groupBy(F.col(group).alias("_group")).agg(F.min("_index").alias("_first"))
+    return (
+        numbered.join(first, F.col(group).eqNullSafe(F.col("_group")))
+        .withColumn(name, F.col("_index") - F.col("_first") + 1)
+        .drop("_index", "_group", "_first")
+    )
+
+
 def with_index(df: DataFrame, order: list[Column | str], name: str = "index") -> DataFrame:
     """Number the rows 0, 1, 2, … in the given order, which must be unique.
 

@@ -1,8 +1,12 @@
 """Structured Streaming forms of the operators.
 
-Detectors that work row by row run unchanged on a stream.  Merging findings that repeat
-needs state: ``stream_dedup`` keeps one row per key within the watermark; ``merge_batches``
-stores the first findings of every micro-batch and ``merged_result`` merges what is stored.
+Detectors that work row by row run unchanged on a stream.  What repeats or adds up over an
+unbounded time is not kept as state: every micro-batch stores its partial result, once
+whatever is retried, and a read merges what is stored.  ``merge_batches`` and
+``merged_result`` do so for findings, ``key_batches`` and ``distinct_result`` for keys,
+``count_batches`` and ``counted_result`` for counts: late rows count too, and the last windows
+need no watermark to pass them.  ``stream_dedup`` and ``stream_counts`` are the forms with
+state, for readers that follow the stream itself and accept a bound on lateness.
 """
 
 from __future__ import annotations
@@ -99,6 +103,47 @@ def merge_batches(
     )
 
 
+def key_batches(
+    findings: DataFrame, folder: str, checkpoint: str, keys: tuple[str, ...] = KEYS
+) -> StreamingQuery:
+    """The distinct keys of every micro-batch."""
+    return merge_batches(findings, folder, checkpoint, lambda b: b.select(*keys).distinct())
+
+
+def distinct_result(spark: SparkSession, folder: str) -> DataFrame:
+    """Every key that ``key_batches`` has stored, once, however far apart it came."""
+    return spark.read.option("basePath", folder).parquet(folder).drop("batch").distinct()
+
+
+def count_batches(
+    findings: DataFrame, folder: str, checkpoint: str, time_col: str, window: str = "1 hour"
+) -> StreamingQuery:
+    """Findings of every micro-batch by window and severity: a row each, not each finding."""
+
+    def counted(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.window(time_col, window).alias("w"), "severity").agg(
+            F.count(F.lit(1)).alias("n_findings")
+        )
+
+    return merge_batches(findings, folder, checkpoint, counted)
+
+
+def counted_result(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings per window and severity over all that ``count_batches`` has stored."""
+    return (
+        spark.read.option("basePath", folder)
+        .parquet(folder)
+        .groupBy("w", "severity")
+        .agg(F.sum("n_findings").alias("n_findings"))
+        .select(
+            F.col("w.start").alias("window_start"),
+            F.col("w.end").alias("window_end"),
+            "severity",
+            "n_findings",
+        )
+    )
+
+
 def merged_result(spark: SparkSession, folder: str) -> DataFrame:
     """The ordered merge of what ``merge_batches`` wrote, whatever the batches were.
 
@@ -109,6 +154,7 @@ def merged_result(spark: SparkSession, folder: str) -> DataFrame:
 
 
 __all__ = [
-    "merge_batches", "merged_result", "read_stream", "start_append", "stream_counts",
-    "stream_dedup", "stream_indicators",
+    "count_batches", "counted_result", "distinct_result", "key_batches", "merge_batches",
+    "merged_result", "read_stream", "start_append", "stream_counts", "stream_dedup",
+    "stream_indicators",
 ]

@@ -239,3 +239,29 @@ def test_stream_dedup_and_merge(spark, tmp_path):
         merged = streaming.merged_result(spark, out).collect()
         assert [(r["code"], r["severity"]) for r in merged] == [("MLS-CVE-1", "high")]
     assert dedupe(custom_findings(spark.read.parquet(str(tmp_path / "in")).drop("ts"))).count() == 1
+
+
+def test_counts_and_keys_of_all_batches(spark, tmp_path):
+    """Late, last and far apart rows count, whatever the batches are."""
+    times = ["2024-06-01 10:05:00", "2021-01-01 00:00:00", "2024-06-01 10:59:59",
+             "2024-06-01 09:00:00", "2024-06-01 10:05:00"]
+    for i, ts in enumerate(times):
+        spark.createDataFrame(
+            [("a", f"X{i % 2}", "p", "low", ts), ("a", "Y", "p", "high", ts)],
+            "artifact_id string, code string, location string, severity string, ts string",
+        ).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    expected = sorted(map(tuple, table.groupBy(
+        F.date_trunc("hour", "ts"), "severity").count().collect()))
+    for files in (1, 2, 9):
+        stream = streaming.read_stream(
+            spark, str(tmp_path / "in"), table.schema, maxFilesPerTrigger=files)
+        out = str(tmp_path / f"c{files}")
+        streaming.count_batches(stream, out, out + "-state", "ts").awaitTermination()
+        got = streaming.counted_result(spark, out).select("window_start", "severity", "n_findings")
+        assert sorted(map(tuple, got.collect())) == expected
+        out = str(tmp_path / f"k{files}")
+        streaming.key_batches(stream, out, out + "-state").awaitTermination()
+        got = sorted(map(tuple, streaming.distinct_result(spark, out).collect()))
+        assert got == [("a", "X0", "p"), ("a", "X1", "p"), ("a", "Y", "p")]
