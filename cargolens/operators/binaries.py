@@ -50,12 +50,12 @@ def _chunk_offsets(content: Column, chunk: Column) -> Column:
             F.split(t, _ANY_HEADER),
         ).otherwise(F.array(t)),
     )[0]
-    lengths = F.transform(pieces, F.length)
-    starts = F.transform(
-        F.sequence(F.lit(0), F.size(lengths) - 1),
-        lambda i: F.aggregate(
-            F.slice(lengths, F.lit(1), i), F.lit(0), lambda acc, n: acc + n
-        ),
+    # The running total of the lengths: the last is the end of the chunk, not a start.
+    starts = F.aggregate(
+        pieces,
+        F.array(F.lit(0)).cast("array<int>"),
+        lambda done, p: F.array_append(done, F.element_at(done, -1) + F.length(p)),
+        lambda done: F.slice(done, F.lit(1), F.size(done) - 1),
     )
     return F.transform(
         F.filter(starts, lambda o: o < _CHUNK), lambda o: chunk * _CHUNK + o
@@ -77,24 +77,37 @@ def _kind_at(content: Column, offset: Column) -> Column:
     )
 
 
-def find_executables(contents: DataFrame, max_per_artifact: int | None = None) -> DataFrame:
+def find_executables(
+    contents: DataFrame,
+    max_per_artifact: int | None = None,
+    base: Column | None = None,
+    owned: Column | None = None,
+    length: Column | None = None,
+) -> DataFrame:
     """(artifact_id, content) -> embedded headers with offset and remaining size.
 
     Everything happens inside the task that read the file: the content is searched chunk
     by chunk and only the headers leave the row.  All headers are kept;
     ``max_per_artifact`` keeps the first ones by offset.
+
+    Where a content is a range of a file of ``length`` bytes, it begins at ``base``, and
+    headers count that start in its first ``owned`` bytes.
     """
     content = F.col("content")
     n_bytes = F.octet_length(content)
+    base = F.lit(0) if base is None else base
+    whole = n_bytes if length is None else length
     chunks = F.sequence(F.lit(0), F.floor((n_bytes - 1) / _CHUNK).cast("int"))
     offsets = F.flatten(F.transform(chunks, lambda c: _chunk_offsets(content, c)))
+    if owned is not None:
+        offsets = F.filter(offsets, lambda o: o < owned)
     headers = F.filter(
         F.transform(
             offsets,
             lambda o: F.struct(
                 _kind_at(content, o).alias("signature_type"),
-                o.cast("bigint").alias("offset"),
-                (n_bytes - o).cast("bigint").alias("size"),
+                (base + o).cast("bigint").alias("offset"),
+                (whole - base - o).cast("bigint").alias("size"),
             ),
         ),
         lambda h: h["signature_type"].isNotNull(),
