@@ -182,7 +182,12 @@ def json_version(manifest: Column, key: str = "keras_version") -> Column:
 
 
 def localized(locale: str, translated: Column, default: Column) -> Column:
-    """The translated text when the locale asks for it and it is there."""
+    """The translated text when the locale asks for it and it is there.
+
+    Texts come in the language of the rules and in English; another locale is refused.
+    """
+    if locale not in fixed.LOCALES:
+        raise ValueError(f"no texts for locale {locale!r}, only for {', '.join(fixed.LOCALES)}")
     if locale != "en":
         return default
     return F.coalesce(F.when(translated != "", translated), default)

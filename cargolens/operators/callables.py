@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -461,16 +462,6 @@ def _exploded_patterns(patterns: DataFrame) -> DataFrame:
     ).select("id", "rule_pos", "ref.module", "ref.name")
 
 
-def matched_globals(globals_: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(artifact_id, id, rule_pos, module, name): raw pairs listed by a pattern."""
-    return (
-        globals_.select("artifact_id", "module", "name")
-        .join(_exploded_patterns(patterns), ["module", "name"])
-        .select("artifact_id", "id", "rule_pos", "module", "name")
-        .distinct()
-    )
-
-
 def trigger_hits(opcodes: DataFrame, patterns: DataFrame) -> DataFrame:
     """(artifact_id, id) where an opcode of the artifact triggers the pattern.
 
@@ -487,7 +478,10 @@ def trigger_hits(opcodes: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def pattern_matches(
+_PAIR, _CALL, _OPCODE, _FRAMEWORK, _HARMLESS = range(5)
+
+
+def _pattern_signals(
     opcodes: DataFrame,
     globals_: DataFrame,
     contexts: DataFrame,
@@ -495,17 +489,107 @@ def pattern_matches(
     metadata: DataFrame,
     patterns: DataFrame,
 ) -> DataFrame:
-    """One row per (artifact, pattern) that meets all conditions of the pattern."""
-    pairs = matched_globals(globals_, patterns)
-    listed = _exploded_patterns(patterns).select("module", "name").distinct()
-    calls = first_calls(reduce_calls.join(listed, ["module", "name"], "left_semi"))
-    grouped = (
-        pairs.join(calls, ["artifact_id", "module", "name"], "left")
-        .groupBy("artifact_id", "id")
+    """(artifact_id, pairs, calls, opcodes, framework, harmless) of artifacts with a listed pair.
+
+    What the patterns know of each fact table is united and aggregated together.  Repeats
+    combine before the first shuffle, and a row has at most what the patterns list.
+    """
+    listed = _exploded_patterns(patterns).groupBy("module", "name").agg(
+        F.collect_set(F.struct("id", "rule_pos")).alias("refs")
+    )
+    triggers = patterns.select(F.explode("trigger_opcodes").alias("name")).distinct()
+    none = F.lit(None)
+
+    def signal(rows: DataFrame, kind: int, **columns: Column) -> DataFrame:
+        return rows.select(
+            "artifact_id",
+            F.lit(kind).alias("kind"),
+            *[
+                columns.get(name, none).cast(type_).alias(name)
+                for name, type_ in (
+                    ("module", "string"),
+                    ("name", "string"),
+                    ("refs", listed.schema["refs"].dataType),
+                    ("position", "bigint"),
+                )
+            ],
+        )
+
+    pair = {"module": F.col("module"), "name": F.col("name")}
+    calls = reduce_calls.join(listed.select("module", "name"), ["module", "name"], "left_semi")
+    known = opcodes.select("artifact_id", F.col("opcode").alias("name"))
+    signals = (
+        signal(globals_.join(listed, ["module", "name"]), _PAIR, refs=F.col("refs"), **pair),
+        signal(calls, _CALL, position=F.col("position"), **pair),
+        signal(known.join(triggers, "name", "left_semi"), _OPCODE, name=F.col("name")),
+        signal(contexts, _FRAMEWORK, name=F.col("framework")),
+        signal(safe_getattr_artifacts(metadata), _HARMLESS),
+    )
+    once = reduce(DataFrame.unionByName, signals).groupBy(
+        "artifact_id", "kind", "module", "name"
+    ).agg(F.min("position").alias("position"), F.max("refs").alias("refs"))
+    kind = F.col("kind")
+    return (
+        once.groupBy("artifact_id")
         .agg(
-            # bounded by the length of the rule
-            F.array_sort(F.collect_list(F.struct("rule_pos", "module", "name"))).alias("pairs"),
-            F.min("position").alias("position"),
+            F.collect_list(F.when(kind == _PAIR, F.struct("module", "name", "refs"))).alias("pairs"),
+            F.collect_list(F.when(kind == _CALL, F.struct("module", "name", "position"))).alias(
+                "calls"
+            ),
+            F.collect_list(F.when(kind == _OPCODE, F.col("name"))).alias("opcodes"),
+            F.max(F.when(kind == _FRAMEWORK, F.col("name"))).alias("framework"),
+            F.bool_or(kind == _HARMLESS).alias("harmless"),
+        )
+        .filter(F.size("pairs") > 0)
+    )
+
+
+def pattern_matches(
+    opcodes: DataFrame,
+    globals_: DataFrame,
+    contexts: DataFrame,
+    reduce_calls: DataFrame,
+    metadata: DataFrame,
+    patterns: DataFrame,
+) -> DataFrame:
+    """One row per (artifact, pattern) that meets all conditions of the pattern.
+
+    Every fact table is read once; pairs, triggers and context are tested on the one row that
+    an artifact has after the aggregate.
+    """
+    facts = _pattern_signals(opcodes, globals_, contexts, reduce_calls, metadata, patterns)
+    listed = F.flatten(
+        F.transform(
+            "pairs",
+            lambda p: F.transform(
+                p["refs"],
+                lambda r: F.struct(
+                    r["id"].alias("id"),
+                    r["rule_pos"].alias("rule_pos"),
+                    p["module"].alias("module"),
+                    p["name"].alias("name"),
+                ),
+            ),
+        )
+    )
+    rows = (
+        facts.withColumn("listed", listed)
+        .withColumn("id", F.explode(F.array_distinct(F.transform("listed", lambda p: p["id"]))))
+        .withColumn("pairs", F.array_sort(F.filter("listed", lambda p: p["id"] == F.col("id"))))
+        .withColumn(
+            "position",
+            F.array_min(
+                F.transform(
+                    F.filter(
+                        "calls",
+                        lambda c: F.exists(
+                            "pairs",
+                            lambda p: (p["module"] == c["module"]) & (p["name"] == c["name"]),
+                        ),
+                    ),
+                    lambda c: c["position"],
+                )
+            ),
         )
     )
     only_getattr = (
@@ -513,26 +597,17 @@ def pattern_matches(
         & (F.col("pairs")[0]["module"] == "builtins")
         & (F.col("pairs")[0]["name"] == "getattr")
     )
-    harmless = safe_getattr_artifacts(metadata).withColumn("harmless", F.lit(True))
     rules = patterns.select(
-        "id",
-        "severity",
-        "confidence",
-        "references",
-        "context_frameworks",
-        (F.coalesce(F.size("trigger_opcodes"), F.lit(0)) > 0).alias("needs_trigger"),
-    )
-    hits = trigger_hits(opcodes, patterns).withColumn("triggered", F.lit(True))
+        "id", "severity", "confidence", "references", "context_frameworks", "trigger_opcodes"
+    )
     framework = F.lower(F.coalesce("framework", F.lit("unknown")))
     anywhere = F.coalesce(F.size("context_frameworks"), F.lit(0)) <= 0
+    untriggered = F.coalesce(F.size("trigger_opcodes"), F.lit(0)) <= 0
     return (
-        grouped.join(rules, "id")
-        .join(hits, ["artifact_id", "id"], "left")
-        .filter(~F.col("needs_trigger") | F.col("triggered"))
-        .join(contexts.select("artifact_id", "framework"), "artifact_id", "left")
+        rows.join(rules, "id")
+        .filter(untriggered | F.arrays_overlap("trigger_opcodes", "opcodes"))
         .filter(anywhere | F.array_contains("context_frameworks", framework))
-        .join(harmless, "artifact_id", "left")
-        .filter(~(only_getattr & F.coalesce("harmless", F.lit(False))))
+        .filter(~(only_getattr & F.col("harmless")))
         .select(
             "artifact_id",
             "id",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cargolens import fixed
 from cargolens.functions.text import compliance_tag
 from cargolens.session import rule_table
+from cargolens.texts import COMPLIANCE_DISCLAIMER
 
 UNMAPPED = "_unmapped"
 TOTAL = "_total"
@@ -86,7 +87,7 @@ def by_requirement(findings: DataFrame, standard: str) -> DataFrame:
 
 
 def compliance_report(findings: DataFrame, standards: Sequence[str]) -> DataFrame:
-    """One row per enabled standard with its sorted distinct ids.
+    """One row per enabled standard with its sorted distinct ids, and what they do not say.
 
     Ids come from the codes, so the distinct codes are taken first; the lists are bounded
     by the mapping tables.
@@ -104,7 +105,7 @@ def compliance_report(findings: DataFrame, standards: Sequence[str]) -> DataFram
         parts = codes.limit(0).select(
             F.lit("").alias("standard"), F.array().cast("array<string>").alias("requirements")
         )
-    return parts
+    return parts.withColumn("disclaimer", F.lit(COMPLIANCE_DISCLAIMER))
 
 
 def report_of_codes(codes: Column, standards: Sequence[str]) -> Column:

@@ -9,6 +9,7 @@ from cargolens.operators import compliance as ops
 from cargolens.plans.base import Tables, in_list
 from cargolens.plans.facts import quoted
 from cargolens.plans.registry import query
+from cargolens.texts import COMPLIANCE_DISCLAIMER
 
 _MAPPING_SQL = "SELECT * FROM (VALUES " + ", ".join(
     f"({quoted(s)}, {quoted(k)}, {i}, {quoted(r)})"
@@ -91,7 +92,8 @@ def findings_by_requirement(spark, sf_dir):
 @query(
     "compliance_report",
     f"""
-    SELECT standard, string_agg(DISTINCT requirement, ',' ORDER BY requirement) AS requirements
+    SELECT standard, string_agg(DISTINCT requirement, ',' ORDER BY requirement) AS requirements,
+           {quoted(COMPLIANCE_DISCLAIMER)} AS disclaimer
     FROM ({CODE_MAP_SQL}) m WHERE standard IN ('owasp_ml', 'fstec') GROUP BY 1
     """,
 )
@@ -99,7 +101,9 @@ def compliance_report(spark, sf_dir):
     report = ops.compliance_report(
         Tables(spark, sf_dir).event_findings(), ("fstec", "owasp_ml")
     )
-    return report.select("standard", F.array_join("requirements", ",").alias("requirements"))
+    return report.select(
+        "standard", F.array_join("requirements", ",").alias("requirements"), "disclaimer"
+    )
 
 
 @query(

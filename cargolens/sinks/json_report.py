@@ -10,6 +10,7 @@ from cargolens.functions.levels import severity_label
 from cargolens.operators.compliance import report_of_codes
 from cargolens.operators.findings import artifact_catalogue, below_threshold
 from cargolens.sources.policy import Policy
+from cargolens.texts import COMPLIANCE_DISCLAIMER
 
 SCHEMA_VERSION = "1.0"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -88,6 +89,9 @@ def run_line(
         F.struct(*reversed(fixed.SEVERITIES), "total", "worst").alias("summary"),
         "below_threshold",
         report_of_codes(F.col("codes"), policy.compliance).alias("compliance_report"),
+        F.lit(COMPLIANCE_DISCLAIMER if policy.compliance else None)
+        .cast("string")
+        .alias("compliance_disclaimer"),
     )
     return totals.select(F.to_json(body, _KEEP_NULLS).alias("value"))
 

@@ -134,6 +134,11 @@ TEXTS = {
     ),
 }
 
+COMPLIANCE_DISCLAIMER = (
+    "The mapping to requirements is automatic and helps an audit; it neither certifies that an "
+    "artifact complies with a standard nor replaces an assessment by an accredited body."
+)
+
 PATTERN_TEXT = (
     "The artifact matches a known vulnerability pattern.",
     "See the references of the finding.",
