@@ -16,6 +16,7 @@ from cargolens.operators import (
     callables,
     findings as algebra,
     formats,
+    keras,
     kv,
     members,
     metadata,
@@ -59,6 +60,7 @@ def unregister(name: str) -> None:
 #: The matches of all text detectors, made by a scan in one read of the strings.
 _TEXT = "text_matches"
 _CUSTOM = "custom_findings"
+_CONFIGS = "configs"
 #: Detectors, or facts, that are planned and run at the same time.
 _AT_ONCE = 4
 
@@ -248,6 +250,34 @@ def _typed(found: DataFrame) -> DataFrame:
     return found.select(*[F.col(c).cast(FINDINGS[c].dataType).alias(c) for c in FINDING_COLUMNS])
 
 
+def with_configs(facts: Facts) -> dict[str, DataFrame]:
+    """The facts with what the model configurations ``configs`` (artifact_id, config) add.
+
+    One walk gives layers and custom objects as metadata and function bodies as strings; an
+    unreadable configuration is an error of its artifact.
+    """
+    facts = dict(facts)
+    configs = facts.pop(_CONFIGS, None)
+    if configs is None:
+        return facts
+    walked = stored(keras.walk_configs(configs), "config-facts")
+
+    def add(name: str, rows: DataFrame) -> None:
+        known = facts.get(name)
+        facts[name] = rows if known is None else known.select(*rows.columns).unionByName(rows)
+
+    add("metadata", keras.metadata_of(walked))
+    add("strings", keras.payload_strings(walked))
+    if "artifacts" in facts:
+        errors = keras.errors_of(walked).groupBy("artifact_id").agg(
+            F.min("error").alias("config_error")
+        )
+        artifacts = facts["artifacts"].join(errors, "artifact_id", "left")
+        error = F.coalesce("error", "config_error")
+        facts["artifacts"] = artifacts.withColumn("error", error).drop("config_error")
+    return facts
+
+
 def detect_stored(facts: Facts, policy: Policy = PRESETS["default"]) -> DataFrame:
     """``detect`` with the findings of every detector written as they are found.
 
@@ -281,6 +311,7 @@ def scan(facts: Facts, policy: Policy = PRESETS["default"]) -> DataFrame:
     Detectors and the merge run when this is called: their findings are written to the
     shared folder.  The result reads the merged findings, and may be read often.
     """
+    facts = with_configs(facts)
     found = stored(algebra.dedupe(detect_stored(facts, policy)), "merged-findings")
     if all(t in facts for t in ("artifacts", "globals", "reduce_calls", "metadata")):
         found = algebra.annotate_truncated(

@@ -19,8 +19,10 @@ from cargolens.operators import (
     kv,
     members,
     metadata,
+    registry,
     trees,
 )
+from cargolens.sources.policy import Policy
 
 ARTIFACT = "artifact_id string, path string, length bigint, scanner string, error string"
 
@@ -378,17 +380,36 @@ def test_config_walk_order_depth_and_broken_json(table):
         {"class_name": "Lambda", "config": {"name": "second", "function": "f()"}},
         {"class_name": "Lambda", "config": {"name": ""}, "registered_name": "C>1"},
         {"class_name": "function", "config": "g()", "registered_name": "function"}], "deep": deep}
-    too_deep = "[" * 300 + '{"class_name": "Lambda"}' + "]" * 300
-    df = table([("a", json.dumps(config)), ("b", "{oops"), ("c", "[1]"), ("d", too_deep)],
+    deeper = "[" * 900 + '{"class_name": "Lambda"}' + "]" * 900
+    too_deep = "[" * 10**6 + "]" * 10**6
+    df = table([("a", json.dumps(config)), ("b", "{oops"), ("c", "[1]"), ("d", too_deep), ("e", deeper)],
                "artifact_id string, config string")
     rows = {(r["artifact_id"], r["key"]): r["value"] for r in keras.keras_facts(df).collect()}
     assert rows[("a", "lambda_layers")] == "second, Lambda, deep"
     assert rows[("a", "custom_objects")] == "C>1"
-    assert rows[("c", "lambda_layer_count")] == "0" == rows[("d", "lambda_layer_count")]
+    assert rows[("c", "lambda_layer_count")] == "0" and rows[("e", "lambda_layer_count")] == "1"
     payloads = keras.payload_strings(keras.config_facts(df)).orderBy("str_idx").collect()
     assert [r["value"] for r in payloads] == ["f()", "g()"]
     errors = {r["artifact_id"]: r["error"] for r in keras.config_errors(df).collect()}
-    assert sorted(errors) == ["b", "d"] and errors["d"].endswith("nested deeper than 200")
+    assert sorted(errors) == ["b", "d"] and errors["d"].endswith("RecursionError")
+
+
+def test_a_scan_reads_configurations_once_and_keeps_their_errors(spark, table):
+    artifacts = table(
+        [(x, f"{x}.keras", ".keras", "keras", None, False) for x in ("a", "b")],
+        "artifact_id string, path string, ext string, scanner string, error string, unsupported boolean")
+    config = {"layers": [{"class_name": "Lambda", "config": {"name": "l", "function": "see http://x.test/y"}}]}
+    configs = table([("a", json.dumps(config)), ("b", "{oops")], "artifact_id string, config string")
+    facts = registry.with_configs({"artifacts": artifacts, "configs": configs})
+    errors = {r["artifact_id"]: r["error"] for r in facts["artifacts"].collect()}
+    assert errors == {"a": None, "b": "unreadable configuration: JSONDecodeError"}
+    empty = {"globals": schema.GLOBALS, "reduce_calls": schema.REDUCE_CALLS,
+             "embedded": "artifact_id string, signature_type string, offset bigint, size bigint"}
+    facts = {"artifacts": artifacts, "configs": configs, **{k: table([], v) for k, v in empty.items()}}
+    policy = Policy.from_mapping({"enabled_detectors": ["keras", "network", "secrets", "parse_error"]})
+    found = {(r["artifact_id"], r["code"]) for r in registry.scan(facts, policy).collect()}
+    assert ("a", "MLS-NET-002") in found and ("b", "MLS-PARSE-001") in found
+    assert any(a == "a" and c.startswith("MLS-KERAS") for a, c in found)
 
 
 def test_long_payloads_stay_whole(table):
