@@ -170,13 +170,14 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
     )
-    ids = docs.where(training).select("doc_id").distinct()
+    # Only these two: a column of docs may have the name of one of the labels.
+    own = docs.where(training).select("doc_id", "text")
+    ids = own.select("doc_id").distinct()
     chosen = (
         marked.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = (
-        docs.where(training)
-        .join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+        own.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
         .groupBy("doc_id", "quality")
         .agg(F.min(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
     )
