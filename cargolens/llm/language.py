@@ -100,7 +100,7 @@ def _count(schema: pa.Schema, orders: tuple[int, ...]) -> Callable:
                 )
 
         for lang, text in records(batches, "lang", "text"):
-            codes, n = grams(text.decode(), orders)
+            codes, n = grams(text.decode("utf-8", "replace"), orders)
             held.setdefault(lang.decode(), []).append((codes, n))
             size += len(codes)
             if size > _HELD:
@@ -128,9 +128,10 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS, size: int = PROFILE
     return (
         counted.groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .withColumn("rank", F.row_number().over(order) - 1)
-        .where(F.col("rank") < size)
-        .select("lang", "gram", "rank")
+        # Numbered from 1, the limit reaches the tasks before the shuffle by language.
+        .withColumn("nth", F.row_number().over(order))
+        .where(F.col("nth") <= size)
+        .select("lang", "gram", (F.col("nth") - 1).alias("rank"))
     )
 
 
@@ -165,7 +166,7 @@ def _predict(profiles: _Profiles, schema: pa.Schema, orders: tuple[int, ...]) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                profiles.predict((text or b"").decode(), orders)
+                profiles.predict((text or b"").decode("utf-8", "replace"), orders)
                 for (text,) in records([batch], "_text")
             ]
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
