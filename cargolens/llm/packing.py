@@ -112,7 +112,7 @@ def _tokenise(capacity: int, vocabulary: str | None, with_ids: bool, schema: pa.
         encode = encoder(vocabulary)
         part, ranks, rows, held = TaskContext.get().partitionId(), defaultdict(int), [], 0
         for doc_id, text in records(batches, "doc_id", "text"):
-            ids = encode((text or b"").decode()) + b"\0\0\0\0"
+            ids = encode((text or b"").decode("utf-8", "replace")) + b"\0\0\0\0"
             for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                 own = ids[4 * start : 4 * (start + length)]
                 row = (doc_id, piece, start, length, zlib.crc32(own), part, ranks[length])

@@ -19,7 +19,9 @@ from cargolens.llm.common import fold
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, "
-    "key string, shard string, fp string, word string, spans string, gone int, carried string"
+    "key string, shard string, fp string, word string, spans string, gone int, carried string, "
+    "quality int, x string, predicted string, piece string, length string, rank string, n string, "
+    "part string, nth string, vector string"
 )
 LONG = "the of and mail@host.example.org to " * 8_000
 ROWS = [
@@ -38,7 +40,8 @@ ROWS = [
 
 
 def _docs(table, rows):
-    return table([(*r, None, None, 1.0, "k", "s", "f", "w", "x", 1, "c") for r in rows], SCHEMA)
+    odd = (None, None, 1.0, "k", "s", "f", "w", "x", 1, "c", 1, *"xpilrnptv")
+    return table([(*r, *odd) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +162,14 @@ def test_packing_edges(docs):
     assert packing.pack(docs.where("doc_id = -1")).count() == 0
 
 
+@pytest.mark.parametrize("name", [*NAMES, "packing"])
+def test_a_text_that_is_no_utf8(docs, labels, items, name):
+    broken = docs.limit(3).withColumn("text", F.unhex(F.lit("61FF2062")).cast("string"))
+    both = docs.unionByName(broken)
+    operators = {**_operators(labels, items), "packing": packing.pack}
+    assert operators[name](both).count() >= len(ROWS) + 3
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
