@@ -12,9 +12,10 @@ from cargolens import fixed
 from cargolens.functions.levels import _lookup
 from cargolens.operators import binaries, formats as ops
 from cargolens.plans.base import LEVEL_SQL, Tables, detail, flat, in_list
-from cargolens.plans.facts import quoted
+from cargolens.plans.facts import TABLES, quoted
 from cargolens.plans.registry import query
 from cargolens.session import computed, spread
+from cargolens.sources import ranges
 from cargolens.sources.artifacts import hash_content, list_artifacts
 from cargolens.sources.tensors import read_headers, tensor_headers
 
@@ -50,11 +51,49 @@ def content_hashes(spark, sf_dir):
     return hash_content(contents, md5=True).select("artifact_id", "sha256", "md5")
 
 
-@query("artifact_inventory")
+_FILES_SQL = ", ".join(f"('{name}.parquet')" for name in TABLES)
+
+
+def _table_files(spark, sf_dir):
+    file = F.regexp_extract("path", r"([^/]*)$", 1)
+    return list_artifacts(spark, sf_dir, recursive=True).withColumn("file", file)
+
+
+@query(
+    "artifact_inventory",
+    f"""SELECT file, '.parquet' AS ext, TRUE AS has_bytes, NULL::VARCHAR AS error
+        FROM (VALUES {_FILES_SQL}) v(file)""",
+)
 def artifact_inventory(spark, sf_dir):
-    """The benchmark files themselves as artifacts."""
-    return list_artifacts(spark, sf_dir, recursive=True).select(
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "ext", "length", "error"
+    """The files of the tables as artifacts."""
+    return _table_files(spark, sf_dir).select(
+        "file", "ext", (F.col("length") > 0).alias("has_bytes"), "error"
+    )
+
+
+@query(
+    "file_ranges",
+    f"""SELECT file, TRUE AS whole, TRUE AS opens, TRUE AS closes, 0::BIGINT AS n_errors
+        FROM (VALUES {_FILES_SQL}) v(file)""",
+)
+def file_ranges(spark, sf_dir):
+    """The files of the tables, read whole by ranges: they begin and end as such files do."""
+    files = _table_files(spark, sf_dir)
+    read = ranges.read_ranges(ranges.byte_ranges(files, fixed.MIB))
+    magic = F.lit(bytearray(b"PAR1"))
+    opens = F.when(F.col("start") == 0, F.substring("content", 1, 4) == magic)
+    closes = F.when(
+        F.col("stop") == F.col("length"), F.substring("content", F.length("content") - 3, F.lit(4)) == magic
+    )
+    return (
+        read.groupBy(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "length")
+        .agg(
+            F.sum(F.octet_length("content")).alias("n"),
+            F.bool_or(opens).alias("opens"),
+            F.bool_or(closes).alias("closes"),
+            F.count("error").alias("n_errors"),
+        )
+        .select("file", (F.col("n") == F.col("length")).alias("whole"), "opens", "closes", "n_errors")
     )
 
 
