@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens import fixed
@@ -192,11 +192,30 @@ def merge_by_location(findings: DataFrame) -> DataFrame:
 
     The most specific code gives the text; severity and confidence are the highest of the
     group; references and tags are united in order.  A location without an anchor keeps all
-    its findings.  The input has one row per (artifact, code, location), so a group holds
-    at most one row per finding code.
+    its findings, at the place of its first one.
+
+    The input has one row per (artifact, code, location).  A window gives every row its place
+    at its location; it streams and spills, so the bare path of an artifact may have any
+    number of codes.  Only what merges is brought together: the codes of one anchored place.
     """
     keys = ("artifact_id", "location")
     rest = [c for c in FINDING_COLUMNS if c not in keys]
+    at = Window.partitionBy(*keys).orderBy("ordinal")
+    several = (F.col("_at") > 0) | F.col("_more").isNotNull()
+    placed = (
+        findings.withColumn("_at", F.row_number().over(at) - 1)
+        .withColumn("_more", F.lead(F.lit(1)).over(at))
+        .withColumn("_first", F.first("ordinal").over(at))
+        .withColumn("_merges", several & has_position_anchor(F.col("location")))
+        # what merges is one spot, everything else is a spot of its own
+        .withColumn("_spot", F.when(F.col("_merges"), F.lit(-1)).otherwise(F.col("_at")))
+        .withColumn(
+            "ordinal",
+            F.when(F.col("_merges"), F.col("ordinal")).otherwise(
+                F.col("_first").withField("seq", F.col("_at"))
+            ),
+        )
+    )
     rows = F.col("rows")
     top = F.element_at(F.array_sort(rows, _by_specificity), 1)
     level = F.array_max(F.transform(rows, lambda r: r["severity_level"]))
@@ -214,25 +233,14 @@ def merge_by_location(findings: DataFrame) -> DataFrame:
         "references": united("references"),
         "compliance_tags": united("compliance_tags"),
     }
-    merged = F.array(
-        F.struct(*[replaced.get(c, top[c]).alias(c) for c in rest])
-    )
-    # rows of one location stay together, at the place of its first finding
-    kept = F.transform(
-        rows,
-        lambda r, i: r.withField(
-            "ordinal", rows[0]["ordinal"].withField("seq", i)
-        ),
-    )
-    grouped = (
-        findings.groupBy(*keys)
-        .agg(F.collect_list(F.struct(*rest)).alias("rows"))
-        .withColumn("rows", F.array_sort(rows, _by_ordinal))
+    merged = F.array(F.struct(*[replaced.get(c, top[c]).alias(c) for c in rest]))
+    grouped = placed.groupBy(*keys, "_spot").agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    kind = grouped.schema["rows"].dataType
+    ordered = grouped.withColumn(
+        "rows", F.when(F.col("_spot") < 0, F.array_sort(rows, _by_ordinal)).otherwise(rows)
     )
-    is_merge = (F.size(rows) > 1) & has_position_anchor(F.col("location"))
-    out_type = grouped.schema["rows"].dataType
-    return grouped.select(
-        *keys, F.inline(F.when(is_merge, merged.cast(out_type)).otherwise(kept.cast(out_type)))
+    return ordered.select(
+        *keys, F.inline(F.when(F.col("_spot") < 0, merged.cast(kind)).otherwise(rows))
     ).select(*FINDING_COLUMNS)
 
 

@@ -185,3 +185,16 @@ def test_parse_errors_and_truncation(spark, table):
     noted = ops.annotate_truncated(everything, artifacts, globals_, none, metadata)
     marked = {r["artifact_id"] for r in noted.collect() if "parse_truncated" in r["details"]}
     assert marked == {"payload"} and noted.count() == 4
+
+
+def test_a_bare_path_with_very_many_codes_keeps_them_in_order(spark):
+    n = 5_000
+    rows = spark.range(n).select(
+        F.lit("a").alias("artifact_id"), F.lit("p").alias("path"), F.lit("p").alias("location"),
+        F.format_string("C-%05d", (F.col("id") * 7919) % n).alias("code"), F.lit("low").alias("severity"),
+        F.format_string("%05d", "id").alias("message"))
+    merged = ops.merge_by_location(ops.custom_findings(rows))
+    got = merged.orderBy("ordinal").select("message", "ordinal.seq").collect()
+    assert [tuple(r) for r in got] == [(f"{i:05d}", i) for i in range(n)]
+    anchored = rows.limit(400).withColumn("location", F.lit("p:offset 7"))
+    assert ops.merge_by_location(ops.custom_findings(anchored)).count() == 1
