@@ -131,6 +131,17 @@ def cap_signatures(embedded: DataFrame, n: int = fixed.MAX_SIGNATURES) -> DataFr
     return unique.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).drop("rn")
 
 
+def capped_artifacts(embedded: DataFrame, n: int = fixed.MAX_SIGNATURES) -> DataFrame:
+    """(artifact_id, n_headers, n_dropped): where ``cap_signatures`` leaves headers out."""
+    counts = (
+        embedded.select("artifact_id", "offset")
+        .distinct()
+        .groupBy("artifact_id")
+        .agg(F.count(F.lit(1)).alias("n_headers"))
+    )
+    return counts.filter(F.col("n_headers") > n).withColumn("n_dropped", F.col("n_headers") - n)
+
+
 def executable_findings(embedded: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
     """One finding per artifact and offset."""
     rows = with_artifacts(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolens import fixed
 from cargolens.functions.text import dotted_prefixes
-from cargolens.operators.findings import emit, union_findings
+from cargolens.operators.findings import emit
 
 
 def target_file(target: Column) -> Column:
@@ -95,10 +95,11 @@ def bundle_findings(
     """Findings per file: the reference itself, risky calls by place and class, and
     obfuscation; files nobody refers to get one note.
 
-    Hits are grouped per file after ``name_matches`` left one row per pattern and position,
-    so a group is bounded by the rule pack.
+    Everything known of a file becomes one row, and the row its findings: each table is read
+    once, and all joins have the keys of the file.  ``name_matches`` leaves one hit per pattern
+    and position, so a row is bounded by the rule pack.
     """
-    resolved = resolve_bundle_refs(refs, files).select("bundle_id", "py_file", "referenced")
+    file = ["bundle_id", "py_file"]
     place = F.when(
         F.col("pos") == "load",
         F.when(F.col("class") == "side-effect", "load-side").otherwise("load-exec"),
@@ -106,35 +107,60 @@ def bundle_findings(
     shown = F.concat(
         "pattern_id", F.lit(" ("), "name", F.lit(":"), F.col("line").cast("string"), F.lit(")")
     )
-    groups = (
+    hits = (
         name_matches(names, patterns)
         .withColumns({"place": place, "shown": shown})
-        .groupBy("bundle_id", "py_file", "place")
+        .groupBy(*file)
         .agg(
             F.array_sort(
-                F.collect_list(F.struct("pattern_id", "pos", "line", "class", "shown"))
-            ).alias("hits")
+                F.collect_list(F.struct("pattern_id", "pos", "line", "class", "shown", "place"))
+            ).alias("all_hits")
         )
     )
-    files_ = resolved.select(
-        "*",
+    hidden = obfuscations.groupBy(*file).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.array_sort(F.collect_set("kind")), ", ").alias("kinds"),
+    )
+    rows = (
+        resolve_bundle_refs(refs, files)
+        .select(*file, "referenced")
+        .join(hits, file, "left")
+        .join(hidden, file, "left")
+    )
+    used = F.col("referenced")
+
+    def entry(code: Column | str, minor: int, own: Column | None = None) -> Column:
+        none = F.array().cast(hits.schema["all_hits"].dataType)
+        code = F.lit(code) if isinstance(code, str) else code
+        return F.struct(
+            code.alias("code"), F.lit(minor).alias("minor"), (none if own is None else own).alias("hits")
+        )
+
+    def calls(name: str, minor: int) -> Column:
+        own = F.filter("all_hits", lambda h: h["place"] == name)
+        return F.when(used & (F.size(own) > 0), entry("MLS-BUNDLE-002", minor, own))
+
+    entries = F.array_compact(
+        F.array(
+            entry(F.when(used, "MLS-BUNDLE-001").otherwise("MLS-BUNDLE-003"), 0),
+            calls("load-exec", 1),
+            calls("load-side", 2),
+            calls("method", 3),
+            F.when(used & F.col("kinds").isNotNull(), entry("MLS-BUNDLE-004", 4)),
+        )
+    )
+    found = rows.select(
+        *file,
+        "referenced",
+        "kinds",
+        "n",
         F.col("bundle_id").alias("artifact_id"),
         F.concat("bundle_id", F.lit("/"), "py_file").alias("path"),
+        F.inline(entries),
     )
-    used = files_.filter("referenced")
-    by_name = {"detector": "bundle_code", "label": F.col("py_file")}
-    reference = emit(
-        used,
-        code="MLS-BUNDLE-001",
-        severity="info",
-        confidence="high",
-        message=F.concat(F.lit("Loaded with the model: "), "py_file"),
-        location=F.col("path"),
-        minor=0,
-        details={"py_file": F.col("py_file"), "referenced": F.lit(True)},
-        **by_name,
-    )
-    hits = used.join(groups, ["bundle_id", "py_file"])
+    code, minor = F.col("code"), F.col("minor")
+    is_call, is_hidden = code == "MLS-BUNDLE-002", code == "MLS-BUNDLE-004"
+    listed = F.array_join(F.transform("hits", lambda h: h["shown"]), ", ")
     first_line = F.try_element_at(
         F.filter(
             F.transform("hits", lambda h: h["line"]),
@@ -142,56 +168,31 @@ def bundle_findings(
         ),
         F.lit(1),
     )
-    risky = emit(
-        hits.withColumn("first_line", first_line),
-        code="MLS-BUNDLE-002",
-        severity=F.when(F.col("place") == "load-exec", "high")
-        .when(F.col("place") == "load-side", "low")
-        .otherwise("info"),
-        confidence="medium",
-        message=F.concat(
-            "py_file", F.lit(" calls "),
-            F.array_join(F.transform("hits", lambda h: h["shown"]), ", "),
-        ),
+    return emit(
+        found,
+        detector="bundle_code",
+        code=code,
+        codes=[f"MLS-BUNDLE-00{i}" for i in range(1, 5)],
+        severity=F.when(minor == 1, "high").when(minor == 2, "low").otherwise("info"),
+        confidence=F.when(is_call, "medium")
+        .when(code == "MLS-BUNDLE-001", "high")
+        .otherwise("low"),
+        message=F.when(is_call, F.concat("py_file", F.lit(" calls "), listed))
+        .when(is_hidden, F.concat("py_file", F.lit(" hides names: "), "kinds"))
+        .when(used, F.concat(F.lit("Loaded with the model: "), "py_file"))
+        .otherwise(F.concat(F.lit("Not loaded by the configuration: "), "py_file")),
         location=F.when(
-            F.col("first_line").isNotNull(),
-            F.concat("path", F.lit(":"), F.col("first_line").cast("string")),
+            first_line.isNotNull(), F.concat("path", F.lit(":"), first_line.cast("string"))
         ).otherwise(F.col("path")),
-        minor=F.when(F.col("place") == "load-exec", 1)
-        .when(F.col("place") == "load-side", 2)
-        .otherwise(3),
+        minor=minor,
+        label=F.col("py_file"),
         details={
             "py_file": F.col("py_file"),
-            "position": F.when(F.col("place") == "method", "method").otherwise("load"),
-            "class": F.col("hits")[0]["class"],
-            "patterns": F.array_join(F.transform("hits", lambda h: h["shown"]), ", "),
+            "referenced": F.when(minor == 0, used),
+            "position": F.when(is_call, F.when(minor == 3, "method").otherwise("load")),
+            "class": F.when(is_call, F.col("hits")[0]["class"]),
+            "patterns": F.when(is_call, listed),
+            "kinds": F.when(is_hidden, F.col("kinds")),
+            "n": F.when(is_hidden, F.col("n")),
         },
-        **by_name,
-    )
-    hidden = obfuscations.groupBy("bundle_id", "py_file").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(F.array_sort(F.collect_set("kind")), ", ").alias("kinds"),
-    )
-    obscure = emit(
-        used.join(hidden, ["bundle_id", "py_file"]),
-        code="MLS-BUNDLE-004",
-        severity="info",
-        confidence="low",
-        message=F.concat("py_file", F.lit(" hides names: "), "kinds"),
-        location=F.col("path"),
-        minor=4,
-        details={"py_file": F.col("py_file"), "kinds": F.col("kinds"), "n": F.col("n")},
-        **by_name,
-    )
-    unused = emit(
-        files_.filter(~F.col("referenced")),
-        code="MLS-BUNDLE-003",
-        severity="info",
-        confidence="low",
-        message=F.concat(F.lit("Not loaded by the configuration: "), "py_file"),
-        location=F.col("path"),
-        minor=0,
-        details={"py_file": F.col("py_file"), "referenced": F.lit(False)},
-        **by_name,
     )
-    return union_findings(reference, risky, obscure, unused)

@@ -401,6 +401,20 @@ def signature_cap(spark, sf_dir):
     return cap_signatures(Tables(spark, sf_dir).embedded, 2).select("artifact_id", "offset")
 
 
+@query(
+    "signature_overflow",
+    """
+    SELECT artifact_id, count(*) AS n_headers, count(*) - 2 AS n_dropped
+    FROM (SELECT DISTINCT artifact_id, at_byte FROM $embedded) d GROUP BY 1 HAVING count(*) > 2
+    """,
+)
+def signature_overflow(spark, sf_dir):
+    """The artifacts of which that limit leaves headers out."""
+    from cargolens.operators.binaries import capped_artifacts
+
+    return capped_artifacts(Tables(spark, sf_dir).embedded, 2)
+
+
 @query(
     "entry_limit_errors",
     """SELECT artifact_id, concat('too many metadata entries: ', value) AS error FROM $metadata
