@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from cargolens import fixed
 from cargolens.functions.levels import (
@@ -235,12 +236,13 @@ def merge_by_location(findings: DataFrame) -> DataFrame:
     }
     merged = F.array(F.struct(*[replaced.get(c, top[c]).alias(c) for c in rest]))
     grouped = placed.groupBy(*keys, "_spot").agg(F.collect_list(F.struct(*rest)).alias("rows"))
-    kind = grouped.schema["rows"].dataType
+    # the columns of findings, all nullable, whatever the input says of its own
+    kind = ArrayType(StructType([FINDINGS[c] for c in rest]))
     ordered = grouped.withColumn(
         "rows", F.when(F.col("_spot") < 0, F.array_sort(rows, _by_ordinal)).otherwise(rows)
     )
     return ordered.select(
-        *keys, F.inline(F.when(F.col("_spot") < 0, merged.cast(kind)).otherwise(rows))
+        *keys, F.inline(F.when(F.col("_spot") < 0, merged.cast(kind)).otherwise(rows.cast(kind)))
     ).select(*FINDING_COLUMNS)
 
 
