@@ -55,8 +55,11 @@ _FILES_SQL = ", ".join(f"('{name}.parquet')" for name in TABLES)
 
 
 def _table_files(spark, sf_dir):
-    file = F.regexp_extract("path", r"([^/]*)$", 1)
-    return list_artifacts(spark, sf_dir, recursive=True).withColumn("file", file)
+    """The files of the tables, with the table each belongs to: a table is one file, or a
+    folder of that name with any number of files."""
+    table = F.regexp_extract("path", rf"/((?:{'|'.join(TABLES)})\.parquet)(?:/.*)?$", 1)
+    files = list_artifacts(spark, sf_dir, recursive=True).withColumn("file", table)
+    return files.filter("file <> ''")
 
 
 @query(
@@ -65,9 +68,12 @@ def _table_files(spark, sf_dir):
         FROM (VALUES {_FILES_SQL}) v(file)""",
 )
 def artifact_inventory(spark, sf_dir):
-    """The files of the tables as artifacts."""
-    return _table_files(spark, sf_dir).select(
-        "file", "ext", (F.col("length") > 0).alias("has_bytes"), "error"
+    """The files of the tables as artifacts, a row per table."""
+    return (
+        _table_files(spark, sf_dir)
+        .groupBy("file", "ext")
+        .agg(F.bool_and(F.col("length") > 0).alias("has_bytes"), F.min("error").alias("error"))
+        .select("file", "ext", "has_bytes", "error")
     )
 
 
@@ -77,23 +83,37 @@ def artifact_inventory(spark, sf_dir):
         FROM (VALUES {_FILES_SQL}) v(file)""",
 )
 def file_ranges(spark, sf_dir):
-    """The files of the tables, read whole by ranges: they begin and end as such files do."""
+    """The files of the tables, read whole by ranges: they begin and end as such files do.
+
+    A table of many files is whole if each of them is.
+    """
     files = _table_files(spark, sf_dir)
     read = ranges.read_ranges(ranges.byte_ranges(files, fixed.MIB))
+    tables = files.select("artifact_id", "file")
     magic = F.lit(bytearray(b"PAR1"))
     opens = F.when(F.col("start") == 0, F.substring("content", 1, 4) == magic)
     closes = F.when(
         F.col("stop") == F.col("length"), F.substring("content", F.length("content") - 3, F.lit(4)) == magic
     )
+    each = read.groupBy("artifact_id", "length").agg(
+        F.sum(F.octet_length("content")).alias("n"),
+        F.bool_or(opens).alias("opens"),
+        F.bool_or(closes).alias("closes"),
+        F.count("error").alias("n_errors"),
+    )
+
+    def all_files(test):
+        return F.bool_and(F.coalesce(test, F.lit(False)))
+
     return (
-        read.groupBy(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "length")
+        each.join(tables, "artifact_id")
+        .groupBy("file")
         .agg(
-            F.sum(F.octet_length("content")).alias("n"),
-            F.bool_or(opens).alias("opens"),
-            F.bool_or(closes).alias("closes"),
-            F.count("error").alias("n_errors"),
+            all_files(F.col("n") == F.col("length")).alias("whole"),
+            all_files(F.col("opens")).alias("opens"),
+            all_files(F.col("closes")).alias("closes"),
+            F.sum("n_errors").alias("n_errors"),
         )
-        .select("file", (F.col("n") == F.col("length")).alias("whole"), "opens", "closes", "n_errors")
     )
 
 
