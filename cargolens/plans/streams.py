@@ -28,9 +28,12 @@ def _run(spark, stream, name: str):
 
 
 def _stream(spark, sf_dir: str, table: str):
-    """One benchmark table as a stream of files."""
+    """One benchmark table as a stream of files.
+
+    A table is one file or a folder of files; a stream reads either by a pattern of the path.
+    """
     schema = Tables(spark, sf_dir).__getattr__(table).schema
-    return streaming.read_stream(spark, sf_dir, schema, pathGlobFilter=f"{table}.parquet")
+    return streaming.read_stream(spark, f"{sf_dir.rstrip('/')}/{table}.[p]arquet", schema)
 
 
 _SEVERITY_SQL = """CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high'

@@ -33,7 +33,8 @@ def folders(tmp_path_factory):
 
 @pytest.mark.parametrize(
     "name",
-    ["artifact_inventory", "file_ranges"],
+    ["artifact_inventory", "file_ranges", "stream_scan", "stream_dedup", "stream_counts",
+     "stream_merge"],
 )
 def test_same_rows(spark, folders, name):
     query = plans.queries()[name]
