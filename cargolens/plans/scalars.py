@@ -131,8 +131,9 @@ def path_parts(spark, sf_dir):
     """,
 )
 def human_sizes(spark, sf_dir):
-    key = F.col("o_orderkey")
-    size = key * key * (1 + F.col("o_custkey"))
+    # keys of some millions make products beyond 64 bits
+    key = F.col("o_orderkey").cast("decimal(19,0)")
+    size = (key * key).cast("decimal(38,0)") * (1 + F.col("o_custkey")).cast("decimal(19,0)")
     return Tables(spark, sf_dir).orders.select("o_orderkey", human_size(size).alias("size"))
 
 
