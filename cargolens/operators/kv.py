@@ -10,8 +10,9 @@ from cargolens.operators.findings import emit
 
 
 def _entries(metadata: DataFrame, artifacts: DataFrame) -> DataFrame:
+    # values may be long: they pass by the hashed artifacts, without being sorted
     kv = artifacts.filter(F.col("scanner") == "gguf").select("artifact_id", "path")
-    return metadata.join(kv, "artifact_id")
+    return metadata.join(kv.hint("shuffle_hash"), "artifact_id")
 
 
 def is_system_key(key: Column) -> Column:
