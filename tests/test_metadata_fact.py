@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from cargolens.operators.secrets import SecretRule, secret_matches
 from cargolens.plans.facts import FACTS, fact
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -36,3 +37,18 @@ def test_long_texts_are_built_above_the_shuffle(spark):
     assert "repeat(x" in _plan(metadata)
     below = str(metadata._jdf.queryExecution().executedPlan()).rsplit("Exchange", 1)[1]
     assert "repeat(x" not in below
+
+
+def test_texts_without_a_character_of_a_hint_are_left_out(table):
+    """... and none with a hint is, whatever its case or script."""
+    rules = (
+        SecretRule("exact", "xox[0-9]", "high", hints=("xox",)),
+        SecretRule("any", "key=[0-9]", "high", False, ("key=",)),
+    )
+    values = ["x" * 50, "xox1 xox2", "XOX1", "KEY=1", "\u212aey=2", "a key=3", "\u00e9", "", None]
+    rows = [(str(i), 0, 0, v) for i, v in enumerate(values)]
+    strings = table(rows, "artifact_id string, str_idx bigint, position bigint, value string")
+    found = secret_matches(strings, None, rules)
+    got = sorted((r.artifact_id, r.match) for r in found.collect())
+    assert got == [("1", "xox1"), ("1", "xox2"), ("3", "KEY=1"), ("5", "key=3")]
+    assert "RLIKE" in _plan(found).upper()
