@@ -52,3 +52,17 @@ def test_texts_without_a_character_of_a_hint_are_left_out(table):
     got = sorted((r.artifact_id, r.match) for r in found.collect())
     assert got == [("1", "xox1"), ("1", "xox2"), ("3", "KEY=1"), ("5", "key=3")]
     assert "RLIKE" in _plan(found).upper()
+
+
+@has_tables
+def test_scan_stores_no_metadata(spark, monkeypatch):
+    """Detectors read a few keys each; before, all values were written and read by each."""
+    from cargolens.operators import registry
+    from cargolens.plans import reports
+    from cargolens.plans.base import Tables
+
+    staged = []
+    monkeypatch.setattr(registry, "stage", lambda facts, *names: staged.extend(names) or dict(facts))
+    facts = reports.all_facts(spark, Tables(spark, SF_DIR))
+    assert "metadata" not in staged and "object_flags" in staged
+    assert facts["metadata"].columns == ["artifact_id", "key", "value"]
