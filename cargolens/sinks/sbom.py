@@ -11,6 +11,8 @@ from cargolens.operators.findings import below_threshold
 from cargolens.sinks.index import with_index
 from cargolens.sinks.json_report import write_sections
 
+_BUCKET_BITS = 14  # findings in a row that are joined together, as a power of two
+
 
 def components(artifacts: DataFrame) -> DataFrame:
     """Artifacts with their running number and component reference, in path order."""
@@ -23,10 +25,16 @@ def vulnerabilities(
     findings: DataFrame, numbered: DataFrame, threshold: str | None
 ) -> DataFrame:
     """Findings with their running number, id, score and the component they affect."""
-    refs = numbered.select("artifact_id", "component_ref")
     rows = with_index(
         findings, ["path", "artifact_id", "ordinal", "code", "location"], "vuln_index"
-    ).join(refs, "artifact_id", "left")
+    ).withColumn("_bucket", F.shiftright("vuln_index", _BUCKET_BITS))
+    # an artifact may have a third of all findings: it joins once for each bucket of them
+    refs = (
+        rows.select("artifact_id", "_bucket")
+        .distinct()
+        .join(numbered.select("artifact_id", "component_ref"), "artifact_id")
+    )
+    rows = rows.join(refs, ["artifact_id", "_bucket"], "left").drop("_bucket")
 
     def of_kind(keep) -> Column:
         return F.filter("references", keep)
