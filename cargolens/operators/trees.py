@@ -19,17 +19,17 @@ def below_marked(nodes: DataFrame, dangling: bool = False) -> DataFrame:
     ``nodes`` (artifact_id, member_id, parent_id, marked, ...) is a table that is cheap to
     read again.  Every open node knows a jump: its parent first, then the jump of its jump, so
     each round doubles the height it has seen, and a tree of depth d takes log2(d) rounds of
-    one join each.  Nodes leave when a mark is found or the top is reached; archives without
-    any mark never enter.  A parent that is not there counts as marked if ``dangling``.
+    one join each.  Nodes leave when a mark is found or the top is reached.  A parent that is not
+    there counts as marked if ``dangling``; else only marked parents are joined.  No join is by
+    archive alone: one archive may hold a third of all members.
     Members that are their own ancestors have nothing above them but each other.
     """
-    own = nodes.groupBy("artifact_id", F.col("member_id").alias("jump")).agg(
-        F.bool_or("marked").alias("hit")  # an id that stands twice joins once
+    own = (
+        (nodes if dangling else nodes.filter("marked"))
+        .groupBy("artifact_id", F.col("member_id").alias("jump"))
+        .agg(F.bool_or("marked").alias("hit"))  # an id that stands twice joins once
     )
     below = nodes.filter(F.col("parent_id").isNotNull())
-    if not dangling:
-        some = nodes.filter("marked").select("artifact_id").distinct()
-        below, own = (x.join(some, "artifact_id", "left_semi") for x in (below, own))
     first = (
         below.withColumnRenamed("parent_id", "jump")
         .join(own, ["artifact_id", "jump"], "left")

@@ -32,3 +32,22 @@ def test_vulnerabilities_join_their_component_by_bucket(spark, monkeypatch):
     assert sorted(r.vuln_index for r in rows) == list(range(findings.count()))
     assert sum(r.artifact_id == "hot" for r in rows) > 8
     assert all(r.component_ref == refs.get(r.artifact_id, "unknown") for r in rows)
+
+
+def test_trees_are_not_joined_by_archive_alone(spark, table, monkeypatch):
+    """Before, members met the marked archives by their id, a third of them in one task."""
+    from cargolens.operators import trees
+
+    joins, kept = [], trees.stored
+    monkeypatch.setattr(
+        trees, "stored", lambda df, name: joins.extend(_joins(df)) or kept(df, name)
+    )
+    nodes = table(
+        [("a", "1", None, True), ("a", "2", "1", False), ("a", "3", "2", False),
+         ("b", "1", None, False), ("b", "2", "1", False), ("b", "3", "2", True),
+         ("c", "1", "1", False), ("c", "2", "gone", False)],
+        "artifact_id string, member_id string, parent_id string, marked boolean",
+    )
+    below = trees.below_marked(nodes).collect()
+    assert sorted((r.artifact_id, r.member_id) for r in below) == [("a", "2"), ("a", "3")]
+    assert joins and all("jump" in line for line in joins)
