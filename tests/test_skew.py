@@ -51,3 +51,34 @@ def test_trees_are_not_joined_by_archive_alone(spark, table, monkeypatch):
     below = trees.below_marked(nodes).collect()
     assert sorted((r.artifact_id, r.member_id) for r in below) == [("a", "2"), ("a", "3")]
     assert joins and all("jump" in line for line in joins)
+
+
+@has_tables
+def test_members_are_moved_once(spark):
+    """Before, lines were moved by their key and again by their order."""
+    from cargolens.plans.facts import FACTS, fact
+
+    members = fact(spark, SF_DIR, "members")
+    assert str(members._jdf.queryExecution().executedPlan()).count("Exchange") == 1
+    sql = FACTS["lines"].replace("$lineitem", f"parquet.`{SF_DIR}/lineitem.parquet`")
+    lines = fact(spark, SF_DIR, "lines")
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, spark.sql(sql).collect()))
+
+
+@has_tables
+def test_numpy_members_pass_by_hashed_artifacts(spark, monkeypatch):
+    """Before, the members of an archive were sorted together to be joined by its id."""
+    from cargolens.operators import metadata
+    from cargolens.plans.base import Tables
+    from cargolens.plans.metadata import with_object_flags
+
+    plans, kept = [], metadata.stored
+
+    def keep(df, name):
+        plans.append(str(df._jdf.queryExecution().optimizedPlan()))
+        return kept(df, name)
+
+    monkeypatch.setattr(metadata, "stored", keep)
+    t = Tables(spark, SF_DIR)
+    metadata.numpy_findings(t.artifacts, with_object_flags(t), t.members)
+    assert plans[0].count("shuffle_hash") == 2
