@@ -66,3 +66,35 @@ def test_scan_stores_no_metadata(spark, monkeypatch):
     facts = reports.all_facts(spark, Tables(spark, SF_DIR))
     assert "metadata" not in staged and "object_flags" in staged
     assert facts["metadata"].columns == ["artifact_id", "key", "value"]
+
+
+def test_flags_and_literals_come_from_one_read(spark, table):
+    """Before, the metadata were read once for the flags and once for the literal names."""
+    from cargolens.operators import callables
+
+    rows = [
+        ("a", "getattr_present", "true"), ("a", "getattr_literal_attrs", "system,forward,,forward"),
+        ("a", "getattr_literal_attrs", "forward,bias"), ("a", "getattr_dynamic", "false"),
+        ("b", "getattr_literal_attrs", ","), ("b", "getattr_dynamic", "true"),
+        ("c", "getattr_literal_attrs", None), ("d", "getattr_present", None), ("e", "note", "true"),
+        ("f", "getattr_literal_attrs", "weight"), (None, "getattr_literal_attrs", "x"),
+    ]
+    metadata = table(rows, "artifact_id string, key string, value string")
+    facts = callables.getattr_facts(metadata)
+    got = {r.artifact_id: tuple(r)[1:] for r in facts.collect()}
+    assert got == {
+        "a": (True, False, 3, 1), "b": (False, True, 0, 0), "c": (False, False, 0, 0),
+        "d": (None, False, 0, 0), "f": (False, False, 1, 0), None: (False, False, 0, 0),
+    }
+    safe = callables.safe_getattr_artifacts(metadata).collect()
+    assert [r.artifact_id for r in safe] == ["f"]
+    plan = _plan(facts)
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+@has_tables
+def test_partitions_of_the_metadata_grow_with_the_lines(spark):
+    """Before, all of them could be joined into few tasks, as their packed rows are small."""
+    rows = fact(spark, SF_DIR, "metadata").filter("key = 'kv_count'")
+    splits = fact(spark, SF_DIR, "lineitem").rdd.getNumPartitions()
+    assert rows.rdd.getNumPartitions() == 8 * splits
