@@ -123,6 +123,31 @@ def test_pattern_needs_trigger_framework_and_a_listed_callable(spark, table):
         ("MLS-P-1", "a:offset 30", "x.f, y.g")]
 
 
+def test_places_of_a_pair_are_not_moved_with_its_callables(spark, table):
+    """Before, every row carried them through two shuffles and was sorted to be distinct."""
+    patterns = table(
+        [("P-1", "high", "high", [("x", "f"), ("y", "g")], ["REDUCE"], [], []),
+         ("P-2", "low", "low", [("y", "g"), ("y", "g")], [], [], [])],
+        "id string, severity string, confidence string, "
+        "affected_globals array<struct<module:string,name:string>>, "
+        "trigger_opcodes array<string>, context_frameworks array<string>, "
+        "references array<struct<type:string,id:string>>")
+    globals_ = table([("a", "y", "g")] * 3 + [("a", "x", "f"), ("b", "x", "f"), ("b", "x", None),
+                      ("c", None, "g")], schema.GLOBALS)
+    opcodes = table([("a", i, "REDUCE", None) for i in range(5)] + [("c", 1, "REDUCE", None)],
+                    schema.OPCODES)
+    calls = table([("a", "y", "g", 40), ("a", "y", "g", 30), ("a", "x", "f", 50), ("d", "x", "f", 1)],
+                  schema.REDUCE_CALLS)
+    contexts = table([("a", "pytorch"), ("b", "numpy")], "artifact_id string, framework string")
+    matches = callables.pattern_matches(
+        opcodes, globals_, contexts, calls, table([], schema.METADATA), patterns)
+    plan = str(matches._jdf.queryExecution().executedPlan())
+    assert "max(refs" not in plan and "SortAggregate" not in plan
+    assert plan.index("partial_collect_list") < plan.index("REPARTITION_BY_COL")
+    assert sorted((r.artifact_id, r.id, r.matched, r.position) for r in matches.collect()) == [
+        ("a", "P-1", "x.f, y.g", 30), ("a", "P-2", "y.g, y.g", 30)]
+
+
 # --- archives -------------------------------------------------------------------------------
 
 
