@@ -98,3 +98,12 @@ def test_partitions_of_the_metadata_grow_with_the_lines(spark):
     rows = fact(spark, SF_DIR, "metadata").filter("key = 'kv_count'")
     splits = fact(spark, SF_DIR, "lineitem").rdd.getNumPartitions()
     assert rows.rdd.getNumPartitions() == 8 * splits
+
+
+@has_tables
+def test_breakdown_reads_the_metadata_by_the_keys_of_getattr_only(spark):
+    """Before, findings on flags, which name no callable, were built and dropped."""
+    from cargolens.plans import queries
+
+    plan = _plan(queries()["symbol_breakdown"](spark, SF_DIR))
+    assert "getattr_dynamic" in plan and "MLS-PKL-006" not in plan
