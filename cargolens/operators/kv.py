@@ -10,9 +10,11 @@ from cargolens.operators.findings import emit
 
 
 def _entries(metadata: DataFrame, artifacts: DataFrame) -> DataFrame:
-    # values may be long: they pass by the hashed artifacts, without being sorted
+    # values may be long: they pass by the hashed artifacts, without being sorted.  A semi join
+    # goes below what derives them, so those of other readers' artifacts are not built
     kv = artifacts.filter(F.col("scanner") == "gguf").select("artifact_id", "path")
-    return metadata.join(kv.hint("shuffle_hash"), "artifact_id")
+    mine = metadata.join(kv.select("artifact_id").hint("shuffle_hash"), "artifact_id", "left_semi")
+    return mine.join(kv.hint("shuffle_hash"), "artifact_id")
 
 
 def is_system_key(key: Column) -> Column:
@@ -28,15 +30,21 @@ def suspicious_word(key: Column) -> Column:
     )
 
 
+def _all(value: Column, pattern: str, needed: str) -> Column:
+    """All matches; a text without what every match holds is left after one pass over its bytes."""
+    found = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
+    return F.when(value.contains(needed), found).otherwise(F.array().cast("array<string>"))
+
+
 def value_urls(value: Column) -> Column:
-    return F.regexp_extract_all(value, F.lit(fixed.KV_URL_PATTERN), F.lit(0))
+    return _all(value, fixed.KV_URL_PATTERN, "://")
 
 
 def value_ips(key: Column, value: Column) -> Column:
     """Address-like texts; keys that hold versions are left out."""
     return F.when(
         ~F.lower(key).isin(*fixed.KV_VERSION_KEYS),
-        F.regexp_extract_all(value, F.lit(fixed.KV_IP_PATTERN), F.lit(0)),
+        _all(value, fixed.KV_IP_PATTERN, "."),
     )
 
 
