@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from cargolens import schema
 from cargolens.functions.network import is_private_ip, trusted_domain
 from cargolens.operators.network import extract_urls, network_findings
-from cargolens.operators.secrets import SECRET_RULES, SecretRule, secret_findings
+from cargolens.operators.secrets import (
+    SECRET_RULES,
+    SecretRule,
+    secret_findings,
+    secret_matches,
+)
+from cargolens.plans.text import CORPUS_RULES
 
 
 @pytest.fixture(scope="module")
@@ -166,3 +172,57 @@ def test_trusted_domains_alike_for_any_length_of_the_list(table, n):
     rows = table([(h,) for h in hosts], "host string")
     got = {r[0]: r[1] for r in rows.select("host", trusted_domain(F.col("host"), domains)).collect()}
     assert [h for h in hosts if got[h]] == ["good.org", "x.GOOD.org..", "a+b.net"]
+
+
+#: The JVM never compiles a longer method.
+_COMPILED_BYTES = 8000
+
+
+def test_the_search_for_all_rules_is_compiled(table):
+    strings = table([("a", 0, 0, f"x {s}") for s in SECRETS.values()], schema.STRINGS)
+    found = secret_matches(strings, None, CORPUS_RULES)
+    assert {r["rule"] for r in found.collect()} >= set(SECRETS)
+    stages = found._jdf.queryExecution().debug().codegenToSeq().iterator()
+    sizes = []
+    while stages.hasNext():
+        sizes.append(stages.next()._3().maxMethodCodeSize())
+    assert sizes and max(sizes) <= _COMPILED_BYTES
+
+
+_MORE = {
+    "openai_org_key": "sk-org-" + "a1" * 24,
+    "slack_webhook": "https://hooks.slack.com/services/" + "A" * 9 + "/" + "B" * 9 + "/" + "c" * 24,
+    "hex_token": 'token = "' + "a1" * 20 + '"',
+    "email_address": "some.one@mail.example",
+}
+
+
+def test_every_match_has_a_mark_of_its_rule(table):
+    texts = SECRETS | _MORE
+    without = [
+        (f"no {r.name}", 0, 0, "".join(" " if c in r.marks else c for c in texts[r.name]))
+        for r in CORPUS_RULES
+    ]
+    rows = [(name, 0, 0, text) for name, text in texts.items()]
+    strings = table([*rows, *without, ("x", 0, 0, "x" * 99), ("null", 0, 0, None)], schema.STRINGS)
+    assert all(len(set(r.marks)) == len(r.marks) > 0 for r in CORPUS_RULES)
+    found = secret_matches(strings, None, CORPUS_RULES).select("artifact_id", "rule").collect()
+    own = {(a.removeprefix("no "), a) for a, rule in found if a.removeprefix("no ") == rule}
+    assert own == {(r.name, r.name) for r in CORPUS_RULES}
+
+
+def test_first_pass_by_marks_or_by_characters(table):
+    rules = (
+        SecretRule("a", "k[.]1", "low", hints=("k.1",), marks="."),
+        SecretRule("b", r"u\^2|v_3|w\\4|Q", "low", marks="^_\\Q"),
+    )
+    texts = ["k.1", "k1", "u^2", "v_3", "w\\4", "Q", "q", "", "é."]
+    strings = table([(t, 0, 0, t) for t in texts], schema.STRINGS)
+    plain = tuple(SecretRule(r.name, r.pattern, r.severity) for r in rules)
+    got = [
+        sorted((r["artifact_id"], r["rule"]) for r in secret_matches(strings, None, x).collect())
+        for x in (rules, plain)
+    ]
+    assert got[0] == got[1] == sorted(
+        [("k.1", "a"), ("u^2", "b"), ("v_3", "b"), ("w\\4", "b"), ("Q", "b")]
+    )
