@@ -65,7 +65,7 @@ def test_a_scan_keeps_merged_findings_only(spark, table, monkeypatch, merge_byte
         ),
     }
     expected = registry.algebra.dedupe(registry.detect(facts))
-    monkeypatch.setattr(registry, "stored_bytes", lambda *_: 3)
+    monkeypatch.setattr(registry, "stored_bytes", lambda *_: 9)
     monkeypatch.setattr(registry, "_MERGE_BYTES", merge_bytes)
     before = _steps(spark)
     found = registry.scan(facts)
